@@ -7,6 +7,7 @@ it rejects, and rules run by rejection per cost. The verdict is the same for eve
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .common import SPACES, table, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+SAMPLE_BYTES = 50_000
 
 
 def longs(c: Column) -> Column:
@@ -98,18 +100,20 @@ def rules(text: Column, ws: Column, repeat_words: Column | None = None) -> list[
     ]
 
 
-def ordered(sample: DataFrame, made: list[Rule]) -> list[Rule]:
-    """Rules by rejections per second on the sample, most first; ties keep the given order."""
-    sample = sample.persist()
+def ordered(texts: list[str], spark: SparkSession, made: Callable[[Column, Column], list[Rule]]) -> list[Rule]:
+    """Rules by rejections per second on sampled texts, most first; ties keep the given order."""
+    rules_ = made(F.col("text"), F.col("ws"))
+    if not texts:
+        return rules_
+    sample = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("ws", words(F.col("text"))).persist()
     try:
-        if not (rows := sample.count()):
-            return made
+        sample.count()
         score = []
-        for rule in made:
+        for rule in rules_:
             began = time.perf_counter()
             hit = sample.agg(F.count(F.when(rule.rejects, 1))).first()[0]
-            score.append(hit / rows / max(time.perf_counter() - began, 1e-3))
-        return [r for _, r in sorted(zip(score, made), key=lambda x: -x[0])]
+            score.append(hit / len(texts) / max(time.perf_counter() - began, 1e-3))
+        return [r for _, r in sorted(zip(score, rules_), key=lambda x: -x[0])]
     finally:
         sample.unpersist()
 
@@ -131,8 +135,9 @@ def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = 400, figur
     base = docs.select(F.struct("*").alias("doc")).select("doc", text_of(F.col("doc")[text_col]).alias("text"))
     base = base.select("doc", "text", words(F.col("text")).alias("ws"))
     t, ws = F.col("text"), F.col("ws")
-    sample = base.where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).select("text", "ws").limit(sample_rows)
-    order = ordered(sample, rules(t, ws))
+    # take() reads no more partitions than it needs; texts of over SAMPLE_BYTES would only fill the driver.
+    drawn = base.where((F.pmod(F.xxhash64("text"), F.lit(4)) == 0) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text").take(sample_rows)
+    order = ordered([r[0] for r in drawn], docs.sparkSession, rules)
     if figures:
         base = base.withColumn("n_repeat_words", covered(window_hashes(ws)))
         given = {r.name: r for r in rules(t, ws, F.col("n_repeat_words"))}
