@@ -58,3 +58,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it is written and has at most max_rows rows; else df, for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few rows as literals of the plan: unlike createDataFrame, no Python worker reads them. columns: "name type, ..."."""
+    parts = [c.split() for c in columns.split(",")]
+    made = [F.struct(*[F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(row, parts)]) for row in rows]
+    kind = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in parts) + ">>"
+    return spark.range(1).select(F.inline((F.array(*made) if made else F.array()).cast(kind)))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, text_of, words
+from .common import SPACES, local_rows, table, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -105,7 +105,7 @@ def ordered(texts: list[str], spark: SparkSession, made: Callable[[Column, Colum
     rules_ = made(F.col("text"), F.col("ws"))
     if not texts:
         return rules_
-    sample = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("ws", words(F.col("text"))).persist()
+    sample = local_rows(spark, [(t,) for t in texts], "text string").withColumn("ws", words(F.col("text"))).persist()
     try:
         sample.count()
         score = []

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, text_of, written
+from .common import local_rows, small, table, text_of, written
 
 SHARDS, BINS, ROUNDS, SLOT_BUCKETS = 16, 4096, 4, 256
 #: A dimension's coordinate: its value in the high bits, a hash of the row in the low ones, so that ties can be split.
@@ -52,7 +52,7 @@ def split_once(pts: DataFrame, open_nodes: list[int], spread: list[float], left_
         live = [(n, *v[:5], max(1, -(-(v[2] - v[1] + 1) // BINS))) for n, v in at.items() if v[1] < v[2]]
         if not live:
             break
-        brackets = spark.createDataFrame(live, "n long, d int, lo long, hi long, want double, below double, step long")
+        brackets = local_rows(spark, live, "n long, d int, lo long, hi long, want double, below double, step long")
         x = F.coalesce(*[F.when(F.col("d") == i, F.col(f"x{i}")) for i in dims])
         inside = pts.join(F.broadcast(brackets), F.col("node") == F.col("n")).withColumn("x", x).where("x between lo and hi")  # one row a node
         bins = inside.groupBy("n", "lo", "hi", "step", "want", "below", F.floor((F.col("x") - F.col("lo")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("s"))
@@ -76,7 +76,7 @@ def tree(pts: DataFrame, leaves: int) -> DataFrame:
         cuts = split_once(pts, list(wide), spread, {n: (k // 2) / k for n, k in wide.items()})
         if not cuts:
             break
-        splits = pts.sparkSession.createDataFrame([(n, d, b, wide[n] // 2) for n, d, b in cuts], "n long, d int, bound long, step long")
+        splits = local_rows(pts.sparkSession, [(n, d, b, wide[n] // 2) for n, d, b in cuts], "n long, d int, bound long, step long")
         x = F.coalesce(*[F.when(F.col("d") == i, F.col(c)) for i, c in enumerate(dims)])
         moved = F.when(x > F.col("bound"), F.col("node") + F.col("step")).otherwise(F.col("node"))
         pts = pts.join(F.broadcast(splits), F.col("node") == F.col("n"), "left").withColumn("node", moved).drop("n", "d", "bound", "step")  # one row a node
