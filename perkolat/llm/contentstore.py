@@ -25,8 +25,8 @@ END_ID = 2
 #: Ids in a chunk: least, at the mean beyond the least (a power of two), most.
 LEAST, MEAN, MOST = 256, 1024, 8192
 FAN_OUT = 1024
-#: Most words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+#: Most words of a generation whose ids a worker keeps; it keeps two.
+CACHE_WORDS = 350_000
 #: A private-use character that parts words which are encoded together.
 _MARK = "\ue000".encode()
 _GEAR = np.random.default_rng(20_240_101).integers(0, 2**32, 1 << 17, dtype=np.uint32)
@@ -41,6 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.kind = Tokenizer.from_file(path), {}, np.dtype(f"<u{width}")
+        self.old: dict[bytes, bytes] = {}
         self.end = np.array([end_id], self.kind).tobytes()
         self.mark = self.ids(_MARK)
         self.stops = {c: self.ids(bytes([c])).tobytes() for c in b".,"}
@@ -49,11 +50,15 @@ class Encoder:
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHE_WORDS:  # words of the last generation stay if they are met again
+            self.old, self.cache = self.cache, {}
         # Lower case first, as the normaliser does; not where that could make one of the special tokens.
-        split, cache = [(t if b"<|" in t else t.lower()).split() for t in texts], self.cache
-        new = set().union(*split).difference(cache)
+        cache = self.cache
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new, old = set().union(*split).difference(cache), self.old
+        if old:
+            cache.update({w: old[w] for w in new if w in old})
+            new.difference_update(cache)
         # A stop or comma after an ASCII letter is a piece of its own.
         ends = {w: w[:-1] for w in new if w[-1] in b".," and w[-2:-1].isalnum()}
         cores = list((new - ends.keys() | set(ends.values())).difference(cache))
@@ -108,20 +113,26 @@ def merkle(leaves: list[bytes]) -> bytes:
 _ENCODER: list[Encoder] = []
 
 
+def worker_encoder(make_encoder) -> Encoder:
+    """One for each Python worker, whose words serve all its tasks. (A function of the module: what is pickled with a task would be new each time.)"""
+    if not _ENCODER:
+        _ENCODER.append(make_encoder())
+    return _ENCODER[0]
+
+
 def encoded(docs: DataFrame, make_encoder) -> DataFrame:
     """(doc_id, n_tokens, chunks, root, payloads) from docs(doc_id, text). A payload is null where its task has given it before."""
 
     def work(batches):
         import zstandard
 
-        if not _ENCODER:  # one for each Python worker, whose words serve all its tasks
-            _ENCODER.append(make_encoder())
+        encoder = worker_encoder(make_encoder)
         z, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
             raw = batch["text"].cast(pa.binary())
             for at in range(0, len(raw), 256):
                 out = []
-                for d, ids in zip(batch["doc_id"][at : at + 256].to_pylist(), _ENCODER[0].encode(raw[at : at + 256].to_pylist())):
+                for d, ids in zip(batch["doc_id"][at : at + 256].to_pylist(), encoder.encode(raw[at : at + 256].to_pylist())):
                     ends = cuts(ids)
                     parts = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
                     hashes, payloads = [hashlib.sha256(c).digest() for c in parts], []
