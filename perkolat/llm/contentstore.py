@@ -26,9 +26,9 @@ END_ID = 2
 LEAST, MEAN, MOST = 256, 1024, 8192
 FAN_OUT = 1024
 #: Most words of a generation whose ids a worker keeps; it keeps two.
-CACHE_WORDS = 350_000
-#: A private-use character that parts words which are encoded together.
-_MARK = "\ue000".encode()
+CACHE_WORDS = 600_000
+#: A digit is a piece, and here a token, of its own: it parts words which are encoded together.
+_MARK = b"0"
 _GEAR = np.random.default_rng(20_240_101).integers(0, 2**32, 1 << 17, dtype=np.uint32)
 
 
@@ -47,7 +47,7 @@ class Encoder:
         self.stops = {c: self.ids(bytes([c])).tobytes() for c in b".,"}
 
     def ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind)
+        return np.array(self.tok.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.kind)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.cache) > CACHE_WORDS:  # words of the last generation stay if they are met again
@@ -62,8 +62,8 @@ class Encoder:
         # A stop or comma after an ASCII letter is a piece of its own.
         ends = {w: w[:-1] for w in new if w[-1] in b".," and w[-2:-1].isalnum()}
         cores = list((new - ends.keys() | set(ends.values())).difference(cache))
-        for at in range(0, len(cores), 256):
-            self.learn(cores[at : at + 256])
+        for at in range(0, len(cores), 64):
+            self.learn(cores[at : at + 64])
         for w, core in ends.items():
             cache[w] = cache[core] + self.stops[w[-1]]
         return [np.frombuffer(b"".join([*map(cache.__getitem__, ws), self.end]), self.kind) for ws in split]
@@ -72,12 +72,11 @@ class Encoder:
         """Encode the words as one text, a mark between them, and cut its ids at the mark's. A word that holds the mark goes alone."""
         plain = [w for w in words if _MARK not in w]
         ids, mark = self.ids((b" " + _MARK + b" ").join([*plain, b""])), self.mark
-        k = len(mark)
-        at = np.flatnonzero(np.all([ids[i : len(ids) - k + 1 + i] == mark[i] for i in range(k)], axis=0)) if len(ids) >= k else np.array([], int)
-        if len(at) != len(plain):  # some other text gave the mark's ids
-            plain, at = [], at[:0]
-        for w, a, b in zip(plain, [0, *(at[:-1] + k).tolist()], at.tolist()):
-            self.cache[w] = ids[a:b].tobytes()
+        at = np.flatnonzero(ids == mark[0]).tolist() if len(mark) == 1 else []
+        if len(at) == len(plain):  # else some other text gave the mark's id, or the mark is not one token
+            raw, k = ids.tobytes(), self.kind.itemsize
+            for w, a, b in zip(plain, [-1, *at], at):
+                self.cache[w] = raw[(a + 1) * k : b * k]
         for w in words:
             if w not in self.cache:
                 self.cache[w] = self.ids(w).tobytes()
