@@ -1,11 +1,14 @@
 """All queries of the library, with the SQL that they are checked against."""
 
-FLAGSHIP = ""
+from . import network_queries, table_queries  # noqa: F401  they register themselves
+from .base import QUERIES, SQL
+
+FLAGSHIP = "flip_threshold_sweep"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
