@@ -1,15 +1,14 @@
-"""Shared helpers: reading tables, word expressions, written cuts of the lineage, checked broadcasts."""
+"""Shared helpers: reading tables, word expressions, literal rows."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perkolat.lineage import fresh_path, shared_dir, small, written
+
+__all__ = ["fresh_path", "local_rows", "shared_dir", "small", "table", "text_of", "words", "written"]
+
 #: Fixed by the contracts: a word is a run without these six ASCII white-space characters.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,37 +28,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RE), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder. One is set only where none is."""
-    sc = spark.sparkContext
-    if not (at := sc.getCheckpointDir()):
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if not own:
-            own = tempfile.mkdtemp(prefix="perkolat-checkpoint-")
-            atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(own)
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/perkolat-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: lineage ends here and a lost executor costs no recomputation.
-
-    Unlike checkpoint(), which computes its input twice, a table is computed once and can be scanned by column."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it is written and has at most max_rows rows; else df, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def local_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A few rows as literals of the plan: unlike createDataFrame, no Python worker reads them. columns: "name type, ..."."""
     parts = [c.split() for c in columns.split(",")]

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perkolat.operators.components import components
+
 from .common import small, table, text_of, written
-from .components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Fingerprints of the bounded sample on which bits are grouped and candidates estimated; it changes the work, not the links.
