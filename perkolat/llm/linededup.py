@@ -81,7 +81,7 @@ def similar(own: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """rid, doc_id, at and removed for every line with words. Lines of fewer than MIN_WORDS distinct words
     stay. Null texts have no line; equal ids are told apart by their place."""
-    lines = written(lines_of(docs).select("rid", "doc_id", "at", "key", "line"), "lines")
+    lines = lines_of(docs)  # cut anew for both uses: writing the lines would copy the corpus
     firsts = classes(lines.where(F.length("line") >= 2 * MIN_WORDS - 1))
     own = written(firsts.select("cid", codes(F.col("line")).alias("codes")).where(F.size("codes") >= MIN_WORDS), "line-codes")
     pairs = written(similar(own), "line-pairs")
