@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ END_ID = 2
 #: Ids in a chunk: least, at the mean beyond the least (a power of two), most.
 LEAST, MEAN, MOST = 256, 1024, 8192
 FAN_OUT = 1024
-#: Most words of a generation whose ids a worker keeps; it keeps two.
-CACHE_WORDS = 600_000
+#: Known words beyond which a worker keeps only those of the texts at hand.
+CACHE_WORDS = 1_200_000
+#: Bytes of text whose words are told apart together.
+PIECE_BYTES = 16 << 20
 #: A digit is a piece, and here a token, of its own: it parts words which are encoded together.
 _MARK = b"0"
 _GEAR = np.random.default_rng(20_240_101).integers(0, 2**32, 1 << 17, dtype=np.uint32)
@@ -40,46 +43,73 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.kind = Tokenizer.from_file(path), {}, np.dtype(f"<u{width}")
-        self.old: dict[bytes, bytes] = {}
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.tok, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        # The known words and, for each, where its ids stand in the pool.
+        self.words, self.pool = pa.array([], pa.binary()), np.array([], self.kind)
+        self.first, self.size = np.array([], np.int64), np.array([], np.int64)
+        self.end = np.array([end_id], self.kind)
         self.mark = self.ids(_MARK)
         self.stops = {c: self.ids(bytes([c])).tobytes() for c in b".,"}
 
     def ids(self, text: bytes) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, self.kind)
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:  # words of the last generation stay if they are met again
-            self.old, self.cache = self.cache, {}
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, the end id last. Arrow tells the words apart; Python meets those that are not known yet."""
         # Lower case first, as the normaliser does; not where that could make one of the special tokens.
-        cache = self.cache
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new, old = set().union(*split).difference(cache), self.old
-        if old:
-            cache.update({w: old[w] for w in new if w in old})
-            new.difference_update(cache)
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        at = self.places(words.dictionary.cast(pa.binary()))[words.indices.to_numpy()]
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        move = (self.first[at] - upto[:-1]).astype(np.int32)
+        ids = self.pool[np.arange(upto[-1], dtype=np.int32) + np.repeat(move, size)]
+        ends = upto[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [np.concatenate([ids[a:b], self.end]) for a, b in zip(ends, ends[1:])]
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of the distinct words stands among those known; new ones are learnt."""
+        at = pc.index_in(words, value_set=self.words)
+        if len(self.words) > CACHE_WORDS:  # those met again stay
+            keep = at.drop_null()
+            own = keep.to_numpy()
+            size = self.size[own]
+            parts = [self.pool[a : a + n] for a, n in zip(self.first[own].tolist(), size.tolist())]
+            self.words, self.size, self.first, self.pool = self.words.take(keep), size, np.cumsum(size) - size, np.concatenate([self.pool[:0], *parts])
+            at = pc.index_in(words, value_set=self.words)
+        if not at.null_count:
+            return at.to_numpy()
+        new = set(words.filter(pc.is_null(at)).to_pylist())
         # A stop or comma after an ASCII letter is a piece of its own.
-        ends = {w: w[:-1] for w in new if w[-1] in b".," and w[-2:-1].isalnum()}
-        cores = list((new - ends.keys() | set(ends.values())).difference(cache))
-        for at in range(0, len(cores), 64):
-            self.learn(cores[at : at + 64])
+        ends = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalnum()}
+        bare = list(set(ends.values()) - new)
+        there = pc.index_in(pa.array(bare, pa.binary()), value_set=self.words).to_pylist()
+        cores = [*(new - ends.keys()), *(w for w, k in zip(bare, there) if k is None)]
+        got = {w: self.pool[self.first[k] : self.first[k] + self.size[k]].tobytes() for w, k in zip(bare, there) if k is not None}
+        for k in range(0, len(cores), 64):
+            self.learn(cores[k : k + 64], got)
         for w, core in ends.items():
-            cache[w] = cache[core] + self.stops[w[-1]]
-        return [np.frombuffer(b"".join([*map(cache.__getitem__, ws), self.end]), self.kind) for ws in split]
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words as one text, a mark between them, and cut its ids at the mark's. A word that holds the mark goes alone."""
+            got[w] = got[core] + self.stops[w[-1]]
+        fresh = [*new, *(w for w, k in zip(bare, there) if k is None)]
+        size = np.array([len(got[w]) for w in fresh], np.int64) // self.kind.itemsize
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join([got[w] for w in fresh]), self.kind)])
+        self.words, self.size = pa.concat_arrays([self.words, pa.array(fresh, pa.binary())]), np.concatenate([self.size, size])
+        return pc.index_in(words, value_set=self.words).to_numpy()
+
+    def learn(self, words: list[bytes], got: dict[bytes, bytes]) -> None:
+        """Encode the words into got, as one text, a mark between them, and cut its ids at the mark's. A word that holds the mark goes alone."""
         plain = [w for w in words if _MARK not in w]
         ids, mark = self.ids((b" " + _MARK + b" ").join([*plain, b""])), self.mark
         at = np.flatnonzero(ids == mark[0]).tolist() if len(mark) == 1 else []
         if len(at) == len(plain):  # else some other text gave the mark's id, or the mark is not one token
             raw, k = ids.tobytes(), self.kind.itemsize
             for w, a, b in zip(plain, [-1, *at], at):
-                self.cache[w] = raw[(a + 1) * k : b * k]
+                got[w] = raw[(a + 1) * k : b * k]
         for w in words:
-            if w not in self.cache:
-                self.cache[w] = self.ids(w).tobytes()
+            if w not in got:
+                got[w] = self.ids(w).tobytes()
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -119,6 +149,13 @@ def worker_encoder(make_encoder) -> Encoder:
     return _ENCODER[0]
 
 
+def pieces(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The batch in slices that end with the row that fills PIECE_BYTES of text."""
+    upto = np.cumsum(pc.binary_length(batch["text"]).to_numpy().astype(np.int64))
+    ends = [*(np.flatnonzero(np.diff(upto // PIECE_BYTES)) + 1).tolist(), len(upto)]
+    return [batch.slice(a, b - a) for a, b in zip([0, *ends], ends) if b > a]
+
+
 def encoded(docs: DataFrame, make_encoder) -> DataFrame:
     """(doc_id, n_tokens, chunks, root, payloads) from docs(doc_id, text). A payload is null where its task has given it before."""
 
@@ -128,10 +165,9 @@ def encoded(docs: DataFrame, make_encoder) -> DataFrame:
         encoder = worker_encoder(make_encoder)
         z, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
-            raw = batch["text"].cast(pa.binary())
-            for at in range(0, len(raw), 256):
+            for part in pieces(batch):
                 out = []
-                for d, ids in zip(batch["doc_id"][at : at + 256].to_pylist(), encoder.encode(raw[at : at + 256].to_pylist())):
+                for d, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"])):
                     ends = cuts(ids)
                     parts = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
                     hashes, payloads = [hashlib.sha256(c).digest() for c in parts], []

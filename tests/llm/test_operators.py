@@ -115,6 +115,24 @@ def test_line_dedup_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == 7
 
 
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encoder = Tokenizer.from_file(path), contentstore.Encoder(path)
+    monkeypatch.setattr(contentstore, "CACHE_WORDS", 50)
+    monkeypatch.setattr(contentstore, "PIECE_BYTES", 300)
+    texts = ["", " a  B, a.b. ", "\x1cx\x85y z", *(prose(40, i) + f". {'Éa, É'[i % 5 :]}." for i in range(30)), *(prose(40, i) for i in range(30))]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = contentstore.pieces(batch)
+    assert len(parts) > 10 and sum(len(p) for p in parts) == len(texts)
+    got = [ids.tolist() for p in parts for ids in encoder.encode(p["text"])]
+    assert got == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_content_store_round_trip(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
