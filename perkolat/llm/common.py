@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perkolat.lineage import fresh_path, shared_dir, small, written
 
-__all__ = ["fresh_path", "local_rows", "shared_dir", "small", "table", "text_of", "words", "written"]
+__all__ = ["freed", "fresh_path", "local_rows", "shared_dir", "small", "table", "text_of", "words", "written"]
 
 #: Fixed by the contracts: a word is a run without these six ASCII white-space characters.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -24,6 +24,17 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
 
 
+def freed(df: DataFrame, name: str) -> DataFrame:
+    """written(), after which Spark drops the shuffle files that it took: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RE), "")
 

@@ -3,7 +3,7 @@
 A line is the set of its words, ASCII letters in lower case. Equal lines are one class first. Words are ordered by rarity, and
 each class is entered under its prefix: the rarest words, so many that two sets of the wanted Jaccard similarity share one of
 them. What meets under a word passes the length filter, the positional filter (the words left after the shared ones bound the
-overlap) and a filter on 64-bit signatures before it leaves the join; the rest is verified word by word. A line goes if an earlier
+overlap) and a filter on 64-bit parity signatures before it leaves the join; the rest is verified word by word. A line goes if an earlier
 one, by doc_id and place, is at least as similar.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, text_of, words, written
+from .common import LOWER, SPACES, UPPER, freed, table, text_of
 
 #: Least Jaccard similarity as a fraction of integers, and the fewest distinct words of a line that is compared.
 NUM, DEN, MIN_WORDS = 4, 5, 5
@@ -20,37 +20,38 @@ NUM, DEN, MIN_WORDS = 4, 5, 5
 COUNTERS = 1 << 16
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+#: One pass makes capitals small and every white-space character a space.
+FOLD = (UPPER + SPACES[1:], LOWER + " " * (len(SPACES) - 1))
 
 
 def codes(line: Column) -> Column:
-    """The hashes of the distinct words, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(words(lowered(line)), lambda w: F.xxhash64(w))))
+    """The hashes of the distinct words."""
+    folded = F.array_remove(F.split(F.translate(line, *FOLD), " "), "")
+    return F.array_distinct(F.transform(folded, lambda w: F.xxhash64(w)))
 
 
 def classes(lines: DataFrame) -> DataFrame:
-    """(cid, line, doc_id, at, rid, key) of each distinct line with words enough, at its first place. lines(key, line, doc_id, at, rid)."""
-    first = lines.groupBy("key").agg(F.min(F.struct(F.col("doc_id"), F.col("at"), F.col("rid"), F.col("line"))).alias("m"))
-    return written(first.select(F.monotonically_increasing_id().alias("cid"), "key", "m.*"), "line-classes")
+    """(cid, key, first, codes) of each distinct line, first being its first place. lines(key, line, doc_id, at, rid)."""
+    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "at", "rid")).alias("first"), F.first("line").alias("line"))
+    return freed(first.select(F.monotonically_increasing_id().alias("cid"), "key", "first", codes(F.col("line")).alias("codes")), "line-classes")
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, at and line for each line with words, and key, a 128-bit hash of the line in lower case with single spaces."""
+    """rid, doc_id, at and line for each line with words, and key, a 128-bit hash of the line as it stands. (Lines that differ in
+    capitals or white space are classes of their own with equal sets, which the join links.)"""
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     out = own.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return out.withColumn("key", F.md5(lowered(F.col("line")))).where(F.length(F.trim("line")) > 0)
+    return out.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.unhex(F.md5("line")))
 
 
 def entries(own: DataFrame) -> DataFrame:
     """(token, cid, n, pos, sig) for each word in the prefix of each class. own(cid, codes), written."""
     spark = own.sparkSession
-    bucket = lambda c: F.pmod(c, F.lit(COUNTERS)).cast("int")
-    counts = own.select(F.explode(F.transform("codes", bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    counts = own.select(F.explode("codes").alias("c")).groupBy(F.pmod("c", F.lit(COUNTERS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     rank = spark.range(COUNTERS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
     # One row with COUNTERS numbers, read as a scalar: the place of a counter's value, in 20 bits.
     ranks = rank.agg(F.sort_array(F.collect_list(F.struct("b", F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 20) - 1)).cast("int").alias("n")))).alias("of")).select(F.transform("of", lambda x: x["n"]).alias("of"))
-    written(ranks, "line-ranks").createOrReplaceTempView("perkolat_line_ranks")
+    freed(ranks, "line-ranks").createOrReplaceTempView("perkolat_line_ranks")
     spark.sql("DECLARE OR REPLACE VARIABLE perkolat_line_rank ARRAY<INT>")
     spark.sql("SET VARIABLE perkolat_line_rank = (SELECT of FROM perkolat_line_ranks)")
     # A word's key: its counter's value, then its hash; ascending is rarest first.
@@ -58,7 +59,7 @@ def entries(own: DataFrame) -> DataFrame:
     keyed = own.select(
         "cid", F.size("codes").alias("n"),
         F.expr(f"sort_array(transform(codes, c -> shiftleft(cast(perkolat_line_rank[cast(pmod(c, {COUNTERS}) AS int)] AS bigint), 43) | (c & {low}L)))").alias("k"),
-        F.expr("aggregate(codes, 0L, (a, c) -> a | shiftleft(1L, cast(pmod(shiftright(c, 20), 64) AS int)))").alias("sig"),
+        F.expr("aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(pmod(shiftright(c, 20), 64) AS int)))").alias("sig"),
     )
     prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
     return keyed.select("cid", "n", "sig", F.posexplode(F.slice("k", F.lit(1), prefix.cast("int"))).alias("pos", "token"))
@@ -75,26 +76,41 @@ def similar(own: DataFrame) -> DataFrame:
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (n1 * DEN >= n2 * NUM) & (n2 * DEN >= n1 * NUM)
     # Words in one set only can each flip a bit of the signature; a later shared word bounds no more than the first does.
     on = on & (flips <= n1 + n2 - 2 * need) & (may + F.least("x.pos", "y.pos") >= need)
-    return x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    return x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), flips.alias("flips")).distinct()
+
+
+def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The b of each of the pairs (a, b) that are similar word by word."""
+    x, y = own.alias("x"), own.alias("y")
+    both = F.size(F.array_intersect("x.codes", "y.codes"))
+    close = pairs.join(x, F.col("b") == F.col("x.cid")).join(y, F.col("a") == F.col("y.cid"))
+    return close.where(both * (NUM + DEN) >= NUM * (F.size("x.codes") + F.size("y.codes"))).select("b").distinct()
+
+
+def later(own: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(cid): the classes to which an earlier one is similar. own(cid, codes) and firsts(cid, first), written.
+
+    Each class first tries the earlier one whose signature is nearest; only those that fail are held against all the others."""
+    found = freed(similar(own), "line-candidates")
+    fa, fb = firsts.select(F.col("cid").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("cid").alias("b"), F.col("first").alias("fb"))
+    late = F.col("fa") < F.col("fb")
+    turned = found.join(fa, "a").join(fb, "b").select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("b"), "flips")
+    pairs = freed(turned, "line-pairs")
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("flips", "a")).alias("m")).select("b", "m.a")
+    done = freed(verified(nearest, own), "line-nearest")
+    rest = pairs.select("a", "b").join(done, "b", "left_anti").join(nearest, ["a", "b"], "left_anti")
+    return done.unionByName(freed(verified(rest, own), "line-rest")).select(F.col("b").alias("cid"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """rid, doc_id, at and removed for every line with words. Lines of fewer than MIN_WORDS distinct words
     stay. Null texts have no line; equal ids are told apart by their place."""
     lines = lines_of(docs)  # cut anew for both uses: writing the lines would copy the corpus
-    firsts = classes(lines.where(F.length("line") >= 2 * MIN_WORDS - 1))
-    own = written(firsts.select("cid", codes(F.col("line")).alias("codes")).where(F.size("codes") >= MIN_WORDS), "line-codes")
-    pairs = written(similar(own), "line-pairs")
-    a, b = own.select(F.col("cid").alias("a"), F.col("codes").alias("ca")), own.select(F.col("cid").alias("b"), F.col("codes").alias("cb"))
-    both = F.size(F.array_intersect("ca", "cb"))
-    close = pairs.join(a, "a").join(b, "b").where(both * (NUM + DEN) >= NUM * (F.size("ca") + F.size("cb"))).select("a", "b")
-    when = firsts.select(F.col("cid"), F.struct("doc_id", "at", "rid").alias("first"))
-    close = close.join(when.withColumnsRenamed({"cid": "a", "first": "fa"}), "a").join(when.withColumnsRenamed({"cid": "b", "first": "fb"}), "b")
-    later = close.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
-    known = firsts.join(own.select("cid"), "cid", "left_semi").select("cid", "key", F.struct("doc_id", "at", "rid").alias("first")).join(later, "cid", "left")
-    own_place = F.struct("doc_id", "at", "rid")
-    joined = lines.select("rid", "doc_id", "at", "key").join(known.select("key", "first", "links"), "key", "left")
-    gone = F.col("first").isNotNull() & (F.col("links").isNotNull() | (own_place != F.col("first")))
+    every = classes(lines.where(F.length("line") >= 2 * MIN_WORDS - 1)).where(F.size("codes") >= MIN_WORDS)
+    gone_classes = later(every.select("cid", "codes"), every.select("cid", "first")).withColumn("late", F.lit(True))
+    known = every.select("cid", "key", "first").join(gone_classes, "cid", "left").select("key", "first", "late")
+    joined = lines.select("rid", "doc_id", "at", "key").join(known, "key", "left")
+    gone = F.col("first").isNotNull() & (F.col("late").isNotNull() | (F.struct("doc_id", "at", "rid") != F.col("first")))
     return joined.select("rid", "doc_id", "at", F.coalesce(gone, F.lit(False)).alias("removed"))
 
 
