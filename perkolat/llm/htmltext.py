@@ -2,8 +2,9 @@
 
 A page is read as a run of tags and text and cut into blocks at block-level tags. Subtrees that are boilerplate by their tag, role
 or class give none. Pass one decides each block by link density, length and stop-word density; a block of an article element is
-text unless links fill it, and where a page has such an element, blocks outside are not. Pass two lets undecided short blocks take
-the label of their nearest decided neighbours.
+judged a step more kindly. Pass two lets undecided blocks take the label of their nearest decided neighbours; those of an article
+look no further than its ends, which count as text. An article without text by the densities alone, on a page with such text outside
+of it, is a teaser and has no such preference.
 """
 
 from __future__ import annotations
@@ -54,17 +55,17 @@ def boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, in an article) of each block that is not empty, in page order."""
+def blocks(page: str) -> list[tuple[str, int, int]]:
+    """(text, characters in links, number of the outermost article around it, 0: none) of each block that is not empty, in page order."""
     out, buffer, linked = [], [], 0
-    skip, skip_depth, inside, link = "", 0, 0, 0
+    skip, skip_depth, inside, articles, link = "", 0, 0, 0, 0
     at, size = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             if text := " ".join(html.unescape("".join(buffer)).split()):
-                out.append((text, linked, inside > 0))
+                out.append((text, linked, articles if inside else 0))
             buffer.clear()
         linked = 0
 
@@ -102,6 +103,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
             flush()
             skip, skip_depth = tag, 1
         elif tag in ("article", "main"):
+            articles += not inside
             inside += 1
         elif tag == "a":
             link = 1
@@ -111,25 +113,34 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def labels(found: list[tuple[str, int, bool]]) -> list[int]:
+def by_density(text: str, linked: int) -> int:
+    n = len(text)
+    if linked > MAX_LINKS * n:
+        return BAD
+    if n < LENGTH_LOW:
+        return BAD if linked else SHORT
+    w = text.lower().split()
+    share = sum(x.strip(".,;:!?()\"'") in STOP for x in w) / len(w)
+    return (GOOD if n > LENGTH_HIGH else NEAR) if share >= STOP_HIGH else NEAR if share >= STOP_LOW else BAD
+
+
+def labels(found: list[tuple[str, int, int]]) -> list[int]:
     """Pass one, then pass two: short blocks go with the nearest decided neighbours, near ones need one good neighbour."""
-    framed = any(inside for *_, inside in found)
-    first = []
-    for text, linked, inside in found:
-        n = len(text)
-        if linked > MAX_LINKS * n:
-            first.append(BAD)
-        elif framed:
-            first.append(GOOD if inside else BAD)
-        elif n < LENGTH_LOW:
-            first.append(BAD if linked else SHORT)
-        else:
-            w = text.lower().split()
-            share = sum(x.strip(".,;:!?()\"'") in STOP for x in w) / len(w)
-            first.append((GOOD if n > LENGTH_HIGH else NEAR) if share >= STOP_HIGH else NEAR if share >= STOP_LOW else BAD)
-    decided = lambda i, step: next((first[j] for j in range(i + step, len(first) if step > 0 else -1, step) if first[j] in (GOOD, BAD)), BAD)
-    near = [(decided(i, -1), decided(i, 1)) if x in (SHORT, NEAR) else None for i, x in enumerate(first)]
-    return [x if n is None else int(any(n) if x == NEAR else all(n)) for x, n in zip(first, near)]
+    plain = [by_density(text, linked) for text, linked, _ in found]
+    good = {article for (*_, article), x in zip(found, plain) if x == GOOD}
+    kind = [article if article in good or 0 not in good else 0 for *_, article in found]  # 0 for teasers
+    first = [x if not k or linked > MAX_LINKS * len(text) else GOOD if x == GOOD or x == NEAR and len(text) >= LENGTH_LOW else NEAR for (text, linked, _), k, x in zip(found, kind, plain)]
+
+    def sides(step: int) -> list[int]:
+        """The label of the nearest decided block before (1) or after (-1) each, within its article."""
+        out, last = [BAD] * len(first), {0: BAD}
+        for i in range(len(first))[::step]:
+            out[i] = last.get(kind[i], GOOD)
+            if first[i] in (GOOD, BAD):
+                last[0] = last[kind[i]] = first[i]
+        return out
+
+    return [int(a or b) if x == NEAR else int(a and b) if x == SHORT else x for x, a, b in zip(first, sides(1), sides(-1))]
 
 
 def main_text(page: str) -> str:
