@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACES, UPPER, freed, table, text_of
 
 #: Least Jaccard similarity as a fraction of integers, and the fewest distinct words of a line that is compared.
-NUM, DEN, MIN_WORDS = 4, 5, 5
+NUM, DEN, MIN_WORDS = 4, 5, 1
+#: A set of fewer words is similar to its equals only: n words in common with n + 1 are too few.
+FEW = NUM // (DEN - NUM)
 #: Counters by which rarity is told, by the word's hash; any fixed order gives the same pairs, a true one fewer to verify.
 COUNTERS = 1 << 16
 
@@ -102,12 +104,20 @@ def later(own: DataFrame, firsts: DataFrame) -> DataFrame:
     return done.unionByName(freed(verified(rest, own), "line-rest")).select(F.col("b").alias("cid"))
 
 
+def equal_later(few: DataFrame) -> DataFrame:
+    """(cid): the classes whose set an earlier one has. few(cid, first, codes)."""
+    sets = few.select("cid", "first", F.sort_array("codes").alias("set"))
+    least = sets.groupBy("set").agg(F.min("first").alias("least"))
+    return sets.join(least, "set").where(F.col("least") < F.col("first")).select("cid")
+
+
 def removed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, at and removed for every line with words. Lines of fewer than MIN_WORDS distinct words
-    stay. Null texts have no line; equal ids are told apart by their place."""
+    """rid, doc_id, at and removed for every line with words. Sets of FEW words or more are joined, smaller ones only
+    grouped. Null texts have no line; equal ids are told apart by their place."""
     lines = lines_of(docs)  # cut anew for both uses: writing the lines would copy the corpus
-    every = classes(lines.where(F.length("line") >= 2 * MIN_WORDS - 1)).where(F.size("codes") >= MIN_WORDS)
-    gone_classes = later(every.select("cid", "codes"), every.select("cid", "first")).withColumn("late", F.lit(True))
+    every = classes(lines)
+    many = every.where(F.size("codes") >= FEW)
+    gone_classes = later(many.select("cid", "codes"), many.select("cid", "first")).unionByName(equal_later(every.where(F.size("codes") < FEW))).withColumn("late", F.lit(True))
     known = every.select("cid", "key", "first").join(gone_classes, "cid", "left").select("key", "first", "late")
     joined = lines.select("rid", "doc_id", "at", "key").join(known, "key", "left")
     gone = F.col("first").isNotNull() & (F.col("late").isNotNull() | (F.struct("doc_id", "at", "rid") != F.col("first")))
