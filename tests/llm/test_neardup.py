@@ -48,3 +48,10 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(neardup, "HOT", hot)
     rows = corpus(3)
     assert sorted(r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, DOC)).collect()) == brute_kept(rows)
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z aa bb cc dd")
+    rows = [(None, a, "null alone"), (None, b, "null twice"), (None, b, "null twice"), (7, a + " k", "with null"), (8, c, "same id"), (8, "other words than those of the row before", "same id, other text")]
+    kept = sorted(r["lang"] for r in simhash.keep_first(spark.createDataFrame(rows + [(None, "one of its own kind", "null, like none")], DOC)).collect())
+    assert kept == ["null twice", "null, like none", "same id", "same id, other text", "with null"]
