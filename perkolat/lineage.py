@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. One is set only where none is."""
+    """The session's checkpoint folder. One is set only where none is, and only on a local master, as in tests."""
     sc = spark.sparkContext
     if not (at := sc.getCheckpointDir()):
         own = spark.conf.get("spark.checkpoint.dir", None)
         if not own:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             own = tempfile.mkdtemp(prefix="perkolat-checkpoint-")
             atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(own)
@@ -34,7 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Unlike checkpoint(), which computes its input twice, a table is computed once and can be scanned by column."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
