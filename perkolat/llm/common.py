@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkolat.lineage import fresh_path, shared_dir, small, written
+from perkolat.lineage import dropped, fresh_path, shared_dir, small, written
 
-__all__ = ["freed", "fresh_path", "local_rows", "shared_dir", "small", "table", "text_of", "words", "written"]
+__all__ = ["dropped", "freed", "fresh_path", "local_rows", "shared_dir", "small", "table", "text_of", "words", "written"]
 
 #: Fixed by the contracts: a word is a run without these six ASCII white-space characters.
 SPACE_RE = r"[\x20\x09-\x0D]+"

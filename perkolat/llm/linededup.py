@@ -1,148 +1,206 @@
 """Line dedup by an exact set-similarity join. Native.
 
-A line is the set of its words, ASCII letters in lower case. Equal lines are one class first. Words are ordered by rarity, and
-each class is entered under its prefix: the rarest words, so many that two sets of the wanted Jaccard similarity share one of
-them. What meets under a word passes the length filter, the positional filter (the words left after the shared ones bound the
-overlap) and a filter on 64-bit parity signatures before it leaves the join; the rest is verified word by word. A line goes if an earlier
-one, by doc_id and place, is at least as similar.
+A line is the set of its words, letters in lower case; lines of equal sets are one class, whose first line, by doc_id and place, stands
+for it. Words are ordered by rarity, and each class is entered under its prefix: the rarest words, so many that two sets of the wanted
+Jaccard similarity share one of them. What meets under a word passes the length filter, the positional filter (the words left
+after the shared one bound the overlap) and a filter on 64-bit parity signatures before it leaves the join; the rest is verified
+word by word. A line goes if an earlier one is at least as similar.
+
+Classes are first held against the earliest class of each of their words alone, which marks groups of near copies by a row each.
+Only those not marked then meet all earlier ones, so that no earlier similar line is missed and no group is squared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, freed, table, text_of
+from .common import dropped, freed, small, table, text_of, written
 
-#: Least Jaccard similarity as a fraction of integers, and the fewest distinct words of a line that is compared.
-NUM, DEN, MIN_WORDS = 4, 5, 1
+#: Least Jaccard similarity as a fraction of integers.
+NUM, DEN = 4, 5
 #: A set of fewer words is similar to its equals only: n words in common with n + 1 are too few.
 FEW = NUM // (DEN - NUM)
 #: Counters by which rarity is told, by the word's hash; any fixed order gives the same pairs, a true one fewer to verify.
-COUNTERS = 1 << 16
-
-
-#: One pass makes capitals small and every white-space character a space.
-FOLD = (UPPER + SPACES[1:], LOWER + " " * (len(SPACES) - 1))
-
-
-def codes(line: Column) -> Column:
-    """The hashes of the distinct words."""
-    folded = F.array_remove(F.split(F.translate(line, *FOLD), " "), "")
-    return F.array_distinct(F.transform(folded, lambda w: F.xxhash64(w)))
-
-
-def classes(lines: DataFrame) -> DataFrame:
-    """(cid, key, first, codes) of each distinct line, first being its first place. lines(key, line, doc_id, at, rid)."""
-    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "at", "rid")).alias("first"), F.first("line").alias("line"))
-    return freed(first.select(F.monotonically_increasing_id().alias("cid"), "key", "first", codes(F.col("line")).alias("codes")), "line-classes")
-
-
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, at and line for each line with words, and key, a 128-bit hash of the line as it stands. (Lines that differ in
-    capitals or white space are classes of their own with equal sets, which the join links.)"""
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    out = own.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return out.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.unhex(F.md5("line")))
-
-
-def entries(own: DataFrame) -> DataFrame:
-    """(token, cid, n, pos, sig) for each word in the prefix of each class. own(cid, codes), written."""
-    spark = own.sparkSession
-    counts = own.select(F.explode("codes").alias("c")).groupBy(F.pmod("c", F.lit(COUNTERS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    rank = spark.range(COUNTERS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    # One row with COUNTERS numbers, read as a scalar: the place of a counter's value, in 20 bits.
-    ranks = rank.agg(F.sort_array(F.collect_list(F.struct("b", F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 20) - 1)).cast("int").alias("n")))).alias("of")).select(F.transform("of", lambda x: x["n"]).alias("of"))
-    freed(ranks, "line-ranks").createOrReplaceTempView("perkolat_line_ranks")
-    spark.sql("DECLARE OR REPLACE VARIABLE perkolat_line_rank ARRAY<INT>")
-    spark.sql("SET VARIABLE perkolat_line_rank = (SELECT of FROM perkolat_line_ranks)")
-    # A word's key: its counter's value, then its hash; ascending is rarest first.
-    low = (1 << 43) - 1
-    keyed = own.select(
-        "cid", F.size("codes").alias("n"),
-        F.expr(f"sort_array(transform(codes, c -> shiftleft(cast(perkolat_line_rank[cast(pmod(c, {COUNTERS}) AS int)] AS bigint), 43) | (c & {low}L)))").alias("k"),
-        F.expr("aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(pmod(shiftright(c, 20), 64) AS int)))").alias("sig"),
-    )
-    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
-    return keyed.select("cid", "n", "sig", F.posexplode(F.slice("k", F.lit(1), prefix.cast("int"))).alias("pos", "token"))
-
-
-def similar(own: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes, a before b by cid, that pass the filters; a superset of the similar ones. own(cid, codes), written."""
-    e = entries(own)
-    x, y = e.alias("x"), e.alias("y")
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    need = F.ceil((n1 + n2) * NUM / (NUM + DEN))  # least overlap
-    may = F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos"))  # overlap possible from the shared word on, if it is the first
-    flips = F.bit_count(F.col("x.sig").bitwiseXOR(F.col("y.sig")))
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & (n1 * DEN >= n2 * NUM) & (n2 * DEN >= n1 * NUM)
-    # Words in one set only can each flip a bit of the signature; a later shared word bounds no more than the first does.
-    on = on & (flips <= n1 + n2 - 2 * need) & (may + F.least("x.pos", "y.pos") >= need)
-    return x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), flips.alias("flips")).distinct()
+COUNTERS = 1 << 17
+#: Parts of the words' hashes that the second pass takes one after the other: each shuffles its share of the entries alone.
+SLICES = 2
+#: Most rows that are broadcast; more are shuffled.
+MAX_BROADCAST = 400_000
 
+E_COLS = ["token", "cid", "n", "pos", "sig", "sig2"]
 
-def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The b of each of the pairs (a, b) that are similar word by word."""
-    x, y = own.alias("x"), own.alias("y")
-    both = F.size(F.array_intersect("x.codes", "y.codes"))
-    close = pairs.join(x, F.col("b") == F.col("x.cid")).join(y, F.col("a") == F.col("y.cid"))
-    return close.where(both * (NUM + DEN) >= NUM * (F.size("x.codes") + F.size("y.codes"))).select("b").distinct()
 
+def lines(text: Column) -> Column:
+    """The lines of a text in lower case, with spaces alone between words."""
+    other = r"[\t\x0b-\r]"  # few texts have any, and splitting at one plain character is faster
+    return F.split(F.lower(F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)), "\n")
 
-def later(own: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(cid): the classes to which an earlier one is similar. own(cid, codes) and firsts(cid, first), written.
 
-    Each class first tries the earlier one whose signature is nearest; only those that fail are held against all the others."""
-    found = freed(similar(own), "line-candidates")
-    fa, fb = firsts.select(F.col("cid").alias("a"), F.col("first").alias("fa")), firsts.select(F.col("cid").alias("b"), F.col("first").alias("fb"))
-    late = F.col("fa") < F.col("fb")
-    turned = found.join(fa, "a").join(fb, "b").select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("b"), "flips")
-    pairs = freed(turned, "line-pairs")
-    nearest = pairs.groupBy("b").agg(F.min(F.struct("flips", "a")).alias("m")).select("b", "m.a")
-    done = freed(verified(nearest, own), "line-nearest")
-    rest = pairs.select("a", "b").join(done, "b", "left_anti").join(nearest, ["a", "b"], "left_anti")
-    return done.unionByName(freed(verified(rest, own), "line-rest")).select(F.col("b").alias("cid"))
+def hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+
+
+def rarity(docs: DataFrame, text_col: str) -> Column:
+    """For each counter the logarithm of the words that fall to it, an array of a fixed size that is a constant of the plan."""
+    word = docs.select(F.explode(lines(text_of(text_col))).alias("line")).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    out = [0] * COUNTERS
+    for b, n in counts.select("b", F.least(F.floor(F.log2(F.col("n")) * 4), F.lit(126)).cast("int") + 1).collect():
+        out[b] = n
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<int>")
+
+
+def set_of(line: Column, ranks: Column) -> Column:
+    """The set of a line's words, rarest first: for each the counter's value, then 56 bits of its hash."""
+
+    def key(c: Column) -> Column:
+        rank = ranks[c.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")].cast("long")
+        return F.coalesce(F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(c, 8)), F.lit(0).cast("long"))  # never null: arrays of plain longs
+
+    return F.sort_array(F.transform(F.array_distinct(hashes(line)), key))
+
+
+def raw_key(line: Column) -> list[Column]:
+    """128 bits that tell lines apart."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
+
+
+def lines_of(docs: DataFrame, ranks: Column, id_col: str, text_col: str, rid_col: str | None) -> DataFrame:
+    """rid, doc_id, at, h1, h2 (the line), k1, k2 (its set), n (words), two signatures and the prefix for each line with words, written. The
+    first line of a document is there in any case, with n = 0 if it has no word."""
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    own = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), lines(text_of(text_col)).alias("lines"))
+    cut = own.select("rid", "doc_id", F.posexplode("lines").alias("at", "line"))
+    keyed = cut.select("rid", "doc_id", "at", *raw_key(F.col("line")), set_of(F.col("line"), ranks).alias("k"))
+    # The parity of the words by 128 classes of their hash: words with an even and those with an odd one.
+    sig = [F.expr(f"aggregate(k, 0L, (a, c) -> a ^ shiftleft((c & 1) ^ {odd}L, cast(shiftright(c, 1) & 63 AS int)))").alias(name) for name, odd in (("sig", 0), ("sig2", 1))]
+    n = F.size("k")
+    prefix = F.when(n >= FEW, F.slice("k", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    out = keyed.select("rid", "doc_id", "at", "h1", "h2", F.xxhash64("k").alias("k1"), F.xxhash64(F.lit(1), "k").alias("k2"), n.alias("n"), *sig, prefix.alias("prefix"))
+    return freed(out.where("n > 0 or at = 0"), "line-lines")
 
 
-def equal_later(few: DataFrame) -> DataFrame:
-    """(cid): the classes whose set an earlier one has. few(cid, first, codes)."""
-    sets = few.select("cid", "first", F.sort_array("codes").alias("set"))
-    least = sets.groupBy("set").agg(F.min("first").alias("least"))
-    return sets.join(least, "set").where(F.col("least") < F.col("first")).select("cid")
+def classes(rows: DataFrame) -> DataFrame:
+    """(cid, k1, k2, h1, h2, place, copies, n, sig, sig2, prefix) of each set, written; place is its first line's, and cid rises with it."""
+    place = F.struct("doc_id", "at", "rid")  # null ids come first
+    first = rows.where("n > 0").select("k1", "k2", F.struct(place.alias("place"), "h1", "h2", "n", "sig", "sig2", "prefix").alias("f"))
+    found = freed(first.groupBy("k1", "k2").agg(F.min("f").alias("f"), F.count("*").alias("copies")).select("k1", "k2", "copies", "f.*"), "line-found")
+    out = freed(found.orderBy("place").select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
+    dropped(found)
+    return out
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, at and removed for every line with words. Sets of FEW words or more are joined, smaller ones only
-    grouped. Null texts have no line; equal ids are told apart by their place."""
-    lines = lines_of(docs)  # cut anew for both uses: writing the lines would copy the corpus
-    every = classes(lines)
-    many = every.where(F.size("codes") >= FEW)
-    gone_classes = later(many.select("cid", "codes"), many.select("cid", "first")).unionByName(equal_later(every.where(F.size("codes") < FEW))).withColumn("late", F.lit(True))
-    known = every.select("cid", "key", "first").join(gone_classes, "cid", "left").select("key", "first", "late")
-    joined = lines.select("rid", "doc_id", "at", "key").join(known, "key", "left")
-    gone = F.col("first").isNotNull() & (F.col("late").isNotNull() | (F.struct("doc_id", "at", "rid") != F.col("first")))
-    return joined.select("rid", "doc_id", "at", F.coalesce(gone, F.lit(False)).alias("removed"))
+def entries(own: DataFrame, part: int) -> DataFrame:
+    """(token, cid, n, pos, sig, sig2) for each word in the prefix of each class that falls to a slice of the words."""
+    e = own.select("cid", "n", "sig", "sig2", F.posexplode("prefix").alias("pos", "token")).select(*E_COLS)
+    return e.where(F.pmod(F.shiftrightunsigned("token", 8), F.lit(SLICES)) == part)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_lines (with words), n_removed and their places, a row for each row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id")
-    per = removed(docs).groupBy("rid").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("at")))).alias("removed_lines"))
-    out = rows.join(per, "rid", "left")
-    return out.select("rid", "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+def may_be(a: str, b: str) -> Column:
+    """Whether the length, the place of a shared word and the signatures allow the similarity, if it is the first shared word."""
+    n1, n2, p1, p2 = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    need = F.ceil((n1 + n2) * NUM / (NUM + DEN))  # least overlap: so many words of either are left from the shared one on
+    return (n1 * DEN >= n2 * NUM) & (n2 * DEN >= n1 * NUM) & (F.least(n1 - p1, n2 - p2) >= need) & (flips(a, b) <= n1 + n2 - 2 * need)
+
+
+def flips(a: str, b: str) -> Column:
+    """Bits in which the signatures differ: each word in one set only can flip one."""
+    return F.bit_count(F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig"))) + F.bit_count(F.col(f"{a}sig2").bitwiseXOR(F.col(f"{b}sig2")))
+
+
+def led(own: DataFrame) -> DataFrame:
+    """(a, b): for each class of own the likeliest of the earliest classes of its rarest words, written. A row for each class at most."""
+    few = own.withColumn("prefix", F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN)) + 1).cast("int")))
+    parts = []
+    for part in range(SLICES):
+        e = entries(few.where(F.size("prefix") > 0), part)
+        lead = e.groupBy("token").agg(F.min(F.struct(*E_COLS[1:])).alias("l"), F.count("*").alias("c")).where("c > 1")
+        lead = lead.select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in E_COLS[1:]])
+        met = e.join(lead, "token").where((F.col("cid") > F.col("l_cid")) & may_be("", "l_"))
+        best = met.groupBy(F.col("cid").alias("b")).agg(F.min(F.struct(flips("", "l_").alias("f"), F.col("l_cid").alias("a"))).alias("m"))
+        parts.append(freed(best, "line-led"))
+    return freed(reduce(DataFrame.unionByName, parts).groupBy("b").agg(F.min("m").alias("m")).select("m.a", "b"), "line-led")
+
+
+def meeting(own: DataFrame, late: DataFrame) -> DataFrame:
+    """(a, b, flips): each class that is not late with the earlier ones that pass the filters under a shared word, written."""
+    parts = []
+    open_ = own.join(late, own["cid"] == late["b"], "left_anti")
+    for part in range(SLICES):
+        x, y = entries(own, part).alias("x"), entries(open_, part).alias("y")
+        on = (F.col("x.token") == F.col("y.token")) & (F.col("x.cid") < F.col("y.cid")) & may_be("x.", "y.")
+        pairs = x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), flips("x.", "y.").alias("flips"))
+        parts.append(freed(pairs.distinct(), "line-pairs"))
+    return freed(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
+
+
+def sets(pairs: DataFrame, own: DataFrame, docs: DataFrame, ranks: Column, text_col: str) -> DataFrame:
+    """(cid, k): the sets of the classes of pairs(a, b), cut anew from the texts for these classes alone, written."""
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    wanted = small(freed(own.join(ids, "cid", "left_semi").select("cid", "h1", "h2"), "line-wanted"), MAX_BROADCAST)
+    cut = docs.select(F.explode(lines(text_of(text_col))).alias("line")).select("line", *raw_key(F.col("line")))
+    own_lines = cut.join(wanted, ["h1", "h2"]).groupBy("cid").agg(F.min("line").alias("line"))
+    return freed(own_lines.select("cid", set_of(F.col("line"), ranks).alias("k")), "line-sets")
+
+
+def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(b) of each of the pairs (a, b) that are similar word by word, written. own(cid, k)."""
+    x, y = own.alias("x"), own.alias("y")
+    both = F.size(F.array_intersect("x.k", "y.k"))
+    close = pairs.join(x, F.col("a") == F.col("x.cid")).join(y, F.col("b") == F.col("y.cid"))
+    return freed(close.where(both * (NUM + DEN) >= NUM * (F.size("x.k") + F.size("y.k"))).select("b").distinct(), "line-late")
+
+
+def later(own: DataFrame, docs: DataFrame, ranks: Column, text_col: str) -> DataFrame:
+    """(b): the classes to which an earlier one is similar. Second-pass classes first try the one of the nearest signature; only
+    those that fail are held against all the others."""
+    pairs = led(own)
+    late = verified(pairs, sets(pairs, own, docs, ranks, text_col))
+    pairs = meeting(own, small(late, MAX_BROADCAST))
+    k = sets(pairs, own, docs, ranks, text_col)
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("flips", "a")).alias("m")).select("b", "m.a")
+    more = verified(nearest, k)
+    rest = pairs.select("a", "b").join(small(more, MAX_BROADCAST), "b", "left_anti")
+    return late.unionByName(more).unionByName(verified(rest, k))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """rid, doc_id, n_lines (with words), n_removed and their places, a row for each row of docs.
+
+    Null and empty texts have no line. Very long texts are many lines, a very long line is one set; nothing is cut. Rows that repeat
+    are told apart by rid, their place in the input or the number in rid_col: the later ones lose their lines. Null ids come first. Ties
+    do not arise, as places differ; other columns are not read; an empty table gives no rows."""
+    ranks = rarity(docs, text_col)
+    full = lines_of(docs, ranks, id_col, text_col, rid_col)
+    own = classes(full)
+    rows = written(full.select("rid", "doc_id", "at", "n", "k1", "k2"), "line-rows")
+    dropped(full)
+    late = later(own, docs, ranks, text_col).distinct().withColumn("late", F.lit(True))
+    told = own.join(small(freed(late, "line-later"), MAX_BROADCAST), F.col("cid") == F.col("b"), "left").where("late or copies > 1")
+    told = small(freed(told.select("k1", "k2", "place", F.coalesce("late", F.lit(False)).alias("late")), "line-told"), MAX_BROADCAST)
+    joined = rows.join(told, ["k1", "k2"], "left")
+    other = ~F.struct("doc_id", "at", "rid").eqNullSafe(F.col("place"))
+    gone = (F.col("n") > 0) & F.col("late").isNotNull() & (F.col("late") | other)
+    per = joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.count_if(F.col("n") > 0).alias("n_lines"), F.sort_array(F.collect_list(F.when(gone, F.col("at")))).alias("removed_lines"))
+    return per.select("rid", "doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
 
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the removed lines taken out of the text; all other columns as they are."""
-    packed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc"))
-    gone = dedup(docs).where("n_removed > 0").select("rid", "removed_lines")
-    kept = F.array_join(F.filter(F.split(F.col("doc")[text_col], "\n"), lambda x, i: ~F.array_contains(F.coalesce("removed_lines", F.array().cast("array<int>")), i)), "\n")
-    out = packed.join(gone, "rid", "left").select(F.col("doc").withField(text_col, kept).alias("doc"))
-    return out.select("doc.*")
+    """docs with the removed lines taken out of the text; all other columns as they are. The rows are written with their numbers, so that
+    both scans agree on them."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc")), "line-rows")
+    own = rows.select("rid", F.col("doc.doc_id").alias("doc_id"), F.col("doc")[text_col].alias("text"))
+    gone = dedup(own, text_col="text", rid_col="rid").where("n_removed > 0").select("rid", "removed_lines")
+    kept = F.array_join(F.filter(F.split(F.col("doc")[text_col], "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
+    out = rows.join(gone, "rid", "left")
+    return out.select(F.when(F.col("removed_lines").isNull(), F.col("doc")).otherwise(F.col("doc").withField(text_col, kept)).alias("doc")).select("doc.*")
 
 
 def op3_line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("rid")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid")
 
 
 SQL: dict[str, str] = {}
