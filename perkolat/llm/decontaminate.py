@@ -10,6 +10,8 @@ bounded size, each of which is broadcast.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 EDIT_RATE = 0.2
-#: Shortest item in words; shorter ones are ordinary phrases and match nothing.
-MIN_WORDS = 8
+#: Items of fewer words must be found unchanged: an edit more would make ordinary phrases of them.
+SHORT = 8
 #: Most characters of the items of one block.
 BLOCK_CHARS = 4_000_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -55,12 +57,12 @@ def myers(peq: dict[str, int], n: int, text: list[str]) -> tuple[int, int]:
 class Matcher:
     """Items of one block, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float = EDIT_RATE, min_words: int = MIN_WORDS):
-        self.items, self.edit_rate, self.min_words = items, edit_rate, min_words
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float = EDIT_RATE):
+        self.items, self.edit_rate = items, edit_rate
         self.automaton = None
 
     def __getstate__(self):  # the automaton is built on the executors
-        return {"items": self.items, "edit_rate": self.edit_rate, "min_words": self.min_words, "automaton": None}
+        return {"items": self.items, "edit_rate": self.edit_rate, "automaton": None}
 
     def build(self) -> None:
         import ahocorasick
@@ -70,9 +72,9 @@ class Matcher:
         for item_id, text in self.items:
             w = folded(text or "")
             n = len(w)
-            if n < self.min_words:
+            if not n:
                 continue
-            k = int(n * self.edit_rate)
+            k = int(n * self.edit_rate) if n >= SHORT else 0
             peq: dict[str, int] = {}
             for i, x in enumerate(w):
                 peq[x] = peq.get(x, 0) | 1 << i
@@ -93,9 +95,10 @@ class Matcher:
             return []
         w = folded(text)
         joined = f" {' '.join(w)} "
+        spaces = list(accumulate(w, lambda a, x: a + len(x) + 1, initial=0))  # where the space before each word is
         near: dict[int, set[int]] = {}
         for end, (length, of) in self.automaton.iter(joined):
-            at = joined.count(" ", 0, end - length + 2) - 1  # the word at which the piece begins
+            at = bisect_left(spaces, end - length + 1)  # the word at which the piece begins
             for m, a in of:
                 near.setdefault(m, set()).add(at - a)
         out = []
@@ -134,7 +137,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, n_words, end_word): a row for each row of docs and item of which it holds a passage within the budget.
 
-    Null and empty texts hold nothing; rows and items that repeat give the same rows again and one each; without items the result is empty."""
+    Null and empty texts hold nothing, nor do items without words match; items under SHORT words must be there unchanged; very long texts
+    are searched whole, in time linear in their length; rows and items that repeat give the same rows again and one each; of passages of
+    equal distance the first counts; other columns are not read; without items or documents the result is empty."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, edits int, n_words int, end_word long"
     for block in blocks(benchmark, text_col="text", block_chars=block_chars):
@@ -164,7 +169,8 @@ def leaks(text: Column, items: list[tuple[int, str]], spark: SparkSession, edit_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage, with all columns of docs."""
+    """The documents that hold no benchmark passage, with all columns of docs. Null and empty texts stay, as do repeated rows; without
+    items all stay; an empty table gives no rows."""
     for block in blocks(benchmark):
         packed = docs.select(F.struct("*").alias("doc"))
         docs = packed.where(~leaks(text_of(packed["doc"]["text"]), block, docs.sparkSession)).select("doc.*")
