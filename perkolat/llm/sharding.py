@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import local_rows, small, table, text_of, written
 
 SHARDS, BINS, ROUNDS, SLOT_BUCKETS = 16, 4096, 4, 256
+#: Most values of a dimension whose weights are broadcast; more are shuffled.
+MAX_BROADCAST = 100_000
 #: A dimension's coordinate: its value in the high bits, a hash of the row in the low ones, so that ties can be split.
 LOW = 2**20
 
@@ -24,18 +26,32 @@ def coordinate(value: Column, row_hash: Column) -> Column:
     return value.cast("long") * F.lit(LOW) + F.pmod(row_hash, F.lit(LOW))
 
 
+def by_weight(base: DataFrame, col: str) -> DataFrame:
+    """base with `col` as 31 bits: the logarithm of the bytes that share its value, then a hash of the value, so that the rows of a value
+    lie together and values of like weight are neighbours."""
+    weight = F.least(F.log2(F.sum("size").cast("double")) * 2.0**14, F.lit(2.0**20 - 1)).cast("long")
+    own = base.groupBy(F.col(col).alias("_v")).agg((weight * 2048 + F.pmod(F.crc32("_v"), F.lit(2048))).alias("_w"))
+    own = small(written(own, "shard-weights"), MAX_BROADCAST)
+    return base.join(own, F.col(col) == F.col("_v")).withColumn(col, F.col("_w")).drop("_v", "_w")
+
+
 def points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, size, text_crc32 and the coordinates x0 (length), x1 (source), x2 (language), x3 (place in id order). Written."""
+    """rid, doc_id, size, text_crc32 and the coordinates x0 (length), x1 (source) and x2 (language), both by weight, and x3 (the id by value
+    between the least and the greatest; 0 if it is no number). Written."""
     text = text_of(text_col)
     size = F.octet_length(text).cast("long") + 1
     names = {c.lower() for c in docs.columns}
-    of = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")), F.lit(0)) / F.lit(2) if c in names else F.lit(0)
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in names else F.lit("")
+    number = F.col(id_col).try_cast("double")
+    lo, hi = docs.agg(F.min(number), F.max(number)).first()
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), of("source").alias("v1"), of("lang").alias("v2"))
-    h = F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", "rid")
+    base = written(base, "shard-base")
     length = F.least(F.log2(F.col("size").cast("double")) * F.lit(2.0**25), F.lit(2.0**31 - 1))
-    at = F.pmod(F.coalesce(F.hash("doc_id").cast("long"), F.lit(0)), F.lit(2**31))
-    dims = (length, F.floor("v1"), F.floor("v2"), at)
-    return written(base.select("rid", "doc_id", "size", "text_crc32", *[coordinate(v, h).alias(f"x{i}") for i, v in enumerate(dims)]), "shard-points")
+    place = (F.col("doc_id").try_cast("double") - F.lit(lo)) / F.lit(max((hi or 0.0) - (lo or 0.0), 1.0)) * F.lit(2.0**31 - 1)
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", "rid")
+    dims = (length, F.col("v1"), F.col("v2"), F.coalesce(place, F.lit(0.0)))
+    own = by_weight(by_weight(base, "v1"), "v2")
+    return written(own.select("rid", "doc_id", "size", "text_crc32", *[coordinate(v, h).alias(f"x{i}") for i, v in enumerate(dims)]), "shard-points")
 
 
 def split_once(pts: DataFrame, open_nodes: list[int], spread: list[float], left_share: dict[int, float]) -> list[tuple[int, int, int]]:
@@ -97,7 +113,8 @@ def slots(sharded: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs. shards: how many; or target_bytes: as many as bring
     leaves to that size. A null text counts one byte; null ids, repeated rows and ties are told apart by their place in the
-    input; an empty table gives no rows."""
+    input; a very long text is one point, which no cut divides; other columns than source and lang are not read; an empty table gives no
+    rows."""
     pts = points(docs)
     if shards is None:
         total = pts.agg(F.sum("size")).first()[0] or 0
