@@ -1,16 +1,22 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded: lower case, look-alike letters and digits to the Latin letters that they stand for, punctuation to spaces. The
-lexicon holds words and stems with weights, learned from labelled rows of the training folds by their log-odds; an Aho-Corasick
-automaton finds them in whole texts. Words that a stem covers but that only clean texts hold are exceptions, as are the phrases
-given; hits inside an exception do not count. Weights, summed and by length of the text, give the score by a logistic curve.
+Texts are folded: compatible and accented forms to plain letters, invisible characters out, lower case, look-alike letters to the Latin
+ones, signs and digits inside words to the letters that they stand for, other punctuation to spaces. The lexicon holds words and
+stems with weights, learned from labelled rows of the training folds by their log-odds; an Aho-Corasick automaton finds them in
+whole texts. Words that a stem covers but that only clean texts hold are exceptions, as are phrases of a hit and the word beside
+it that only clean texts hold, and phrases given; hits inside an exception do not count. Two figures for the length of the text, the weight
+and the different terms, give the score by a logistic curve.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +28,38 @@ from .common import table, text_of, written
 #: Most labelled rows that the lexicon and the curve are learned from, drawn by a hash of doc_id.
 MAX_ROWS = 20_000
 STEMS = range(4, 9)
-#: Least likelihood ratio (G squared) of a term with the label, and most terms.
-LEAST_G2, MAX_TERMS = 16.0, 2000
-#: Letters that look like Latin ones, and digits or signs written for letters.
-HOMOGLYPHS = dict(zip("абвеёзікмнорстухѕјԁαβγεζηικμνορτυχω", "abbeeziкmhopctyxsjdabyezhikmvoptuxw".replace("к", "k")))
-DIGITS = dict(zip("013457@$!|", "oieastasil"))
+#: Least likelihood ratio (G squared) of a term with the label, and least clean texts that hold an exception phrase.
+LEAST_G2, LEAST_CLEAN = 16.0, 3
+#: Words that every text counts as having besides its own, so that one hit in a short text is no certainty.
+GRACE = 30
+#: Letters of other scripts that look like Latin ones, and digits or signs written for letters.
+HOMOGLYPHS = dict(zip("абвеёзікмнорстухѕјԁӏһԛԝαβγεζηικμνορτυχωօսոց", "abbeezikmhopctyxsjdlhqwabyezhikmvoptuxwouno"))
+DIGITS = dict(zip("013457", "oieast"))
+SIGNS = dict(zip("@$!|", "asil"))
 FOLD = str.maketrans(HOMOGLYPHS | {c: " " for c in "\n\t\r\x0b\x0c.,;:?\"'()[]{}<>*#%&=+-_/\\~^`"} | DIGITS)
+#: A sign is a letter before a letter or another such sign that is (b@d, $hit, a$$hat), and $ after one; at a word's end the others are signs.
+SIGN = re.compile(r"(?<=\w)[!|](?=\w)|[@$]++(?=\w)|(?<=\w)\$++")
+LATIN = re.compile(r"(?:LATIN|REGIONAL INDICATOR).*\bLETTER (?:SMALL CAPITAL )?([A-Z])(?: WITH .*)?$")
+
+
+@lru_cache(maxsize=100_000)
+def plain(c: str) -> str:
+    """A character that is not ASCII without its marks, as the Latin letter that its name says, or nothing if it is invisible."""
+    kind = unicodedata.category(c)
+    if kind in ("Mn", "Me", "Cf"):
+        return ""
+    if kind[0] == "Z":
+        return " "
+    m = LATIN.search(unicodedata.name(c, ""))
+    return m[1].lower() if m else c.lower() if kind[0] == "L" else " "
 
 
 def folded(text: str) -> str:
     """With a space before and after. A run of digits alone folds too; no term is made of it, as clean texts hold numbers."""
-    return f" {text.lower().translate(FOLD)} "
+    if not text.isascii():
+        text = "".join([c if c < "\x80" else plain(c) for c in unicodedata.normalize("NFKD", text)])
+    text = SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text.lower())
+    return f" {text.translate(FOLD).replace('!', ' ').replace('|', ' ').replace('@', ' ').replace('$', ' ')} "
 
 
 def terms(text: str) -> set[str]:
@@ -67,37 +94,48 @@ def counted(labelled: DataFrame) -> DataFrame:
     return labelled.select("text", "toxic").mapInArrow(work, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def g2(p: float, n: float, pos: float, neg: float) -> float:
-    total = 0.0
-    for got, out_of, other, other_of in ((p, pos, n, neg),):
-        share = (got + other) / (out_of + other_of)
-        for a, b in ((got, out_of * share), (other, other_of * share), (out_of - got, out_of * (1 - share)), (other_of - other, other_of * (1 - share))):
-            if a > 0 and b > 0:
-                total += 2 * a * math.log(a / b)
-    return total
+def g2(pos: int, neg: int) -> Column:
+    """The likelihood ratio of columns pos and neg of pos and neg texts."""
+    p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
+    share = (p + n) / (pos + neg)
+    part = lambda a, b: F.when((a > 0) & (b > 0), 2 * a * F.log(a / b)).otherwise(0.0)
+    return part(p, pos * share) + part(n, neg * share) + part(pos - p, pos * (1 - share)) + part(neg - n, neg * (1 - share))
 
 
 def lexicon(counts: DataFrame, pos: int, neg: int) -> tuple[dict[str, float], list[str]]:
-    """Terms with weights, and exceptions. A term that an accepted stem covers is left out, unless it is stronger."""
+    """Terms with weights, and words that are exceptions. A term that an accepted stem covers is left out, unless it is stronger. What is
+    collected is of the bounded sample's vocabulary, and significant."""
     share = pos / max(pos + neg, 1)
-    likely = counts.where(F.col("pos") >= 3).where(F.col("pos") > F.lit(2 * share) * (F.col("pos") + F.col("neg")))
-    rows = likely.orderBy(F.col("pos").desc(), F.col("neg"), "term").limit(50 * MAX_TERMS).collect()  # of strong terms; a bound of the fit, not of the texts
-    scored = sorted(((g2(r["pos"], r["neg"], pos, neg), r["pos"], r["neg"], r["term"]) for r in rows), key=lambda x: (-round(x[0], 6), -len(x[3].rstrip()), x[3].endswith(" "), x[3]))
+    likely = counts.where(F.col("pos") >= 3).where(F.col("pos") > F.lit(2 * share) * (F.col("pos") + F.col("neg"))).withColumn("g", F.round(g2(pos, neg), 6)).where(F.col("g") >= LEAST_G2)
+    scored = sorted(((r["g"], r["pos"], r["neg"], r["term"]) for r in likely.collect()), key=lambda x: (-x[0], -len(x[3].rstrip()), x[3].endswith(" "), x[3]))
     taken: dict[str, float] = {}
-    for g, p, n, term in scored:
-        if g < LEAST_G2 or len(taken) >= MAX_TERMS:
-            break
-        if not any(term.startswith(t) or t.startswith(term) for t in taken):
+    begun: set[str] = set()  # all beginnings of the terms taken
+    for _, p, n, term in scored:
+        if term not in begun and not any(term[:k] in taken for k in range(1, len(term))):
             taken[term] = max(0.1, math.log((p + 0.5) / (pos + 1)) - math.log((n + 0.5) / (neg + 1)))
-    stems = [t for t in taken if not t.endswith(" ")]
-    covered = counts.where((F.col("pos") == 0) & F.col("term").endswith(" "))
-    exceptions: list[str] = []
-    for at in range(0, len(stems), 200):
-        hit = None
-        for s in stems[at : at + 200]:
-            hit = F.col("term").startswith(s) if hit is None else hit | F.col("term").startswith(s)
-        exceptions += [r[0] for r in covered.where(hit).select("term").limit(MAX_TERMS).collect()]
-    return taken, exceptions
+            begun.update(term[:k] for k in range(1, len(term) + 1))
+    covered = F.lit(False)
+    for k in STEMS:
+        if own := [t for t in taken if len(t) == k + 1 and not t.endswith(" ")]:
+            covered = covered | F.substring("term", 1, k + 1).isin(own)
+    exceptions = counts.where((F.col("pos") == 0) & F.col("term").endswith(" ") & covered)
+    return taken, [r[0] for r in exceptions.select("term").orderBy("term").collect()]
+
+
+def phrases(labelled: DataFrame, made: Scorer) -> list[str]:
+    """Phrases of the word that holds a hit and the one before or after it that LEAST_CLEAN clean texts hold and no toxic one."""
+
+    def work(batches):
+        for batch in batches:
+            pos, neg = Counter(), Counter()
+            for t, y in zip(batch["text"], batch["toxic"].to_pylist()):
+                text = folded(t.as_py() or "")
+                (pos if y else neg).update(made.beside(text))
+            keys = list(pos.keys() | neg.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())], ["term", "pos", "neg"])
+
+    counts = labelled.select("text", "toxic").mapInArrow(work, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return [r[0] for r in counts.where((F.col("pos") == 0) & (F.col("neg") >= LEAST_CLEAN)).select("term").orderBy("term").collect()]
 
 
 class Scorer:
@@ -107,8 +145,8 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"automaton": None}
 
-    def features(self, text: str) -> tuple[float, float]:
-        """log1p of the summed weights, and weight for each 100 words."""
+    def hits(self, text: str) -> list[tuple[int, int, float]]:
+        """(first, last, weight) of each hit in a folded text that no exception holds."""
         if self.automaton is None:
             import ahocorasick
 
@@ -118,14 +156,36 @@ class Scorer:
             if len(self.automaton):
                 self.automaton.make_automaton()
         if not len(self.automaton):
-            return 0.0, 0.0
+            return []
+        found = [(end - n + 1, end, w) for end, (n, w) in self.automaton.iter(text)]
+        spared = sorted((a, b) for a, b, w in found if w is None)
+        if not spared:
+            return found
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))  # the furthest end of those that begin so far
+        inside = lambda a, b: (i := bisect_right(starts, a)) and reach[i - 1] >= b
+        return [(a, b, w) for a, b, w in found if w is not None and not inside(a, b)]
+
+    def beside(self, text: str) -> set[str]:
+        """The words that hold hits with the word before and with the word after, in a folded text."""
+        out = set()
+        for a, b, _ in self.hits(text):
+            end = text.find(" ", max(b, a + 1))
+            word = text[a + 1 : end]
+            before, after = text[max(0, a - 40) : a].split()[-1:], text[end : end + 40].split()[:1]
+            if before:
+                out.add(f" {before[0]} {word} ")
+            if after:
+                out.add(f" {word} {after[0]} ")
+        return out
+
+    def features(self, text: str) -> tuple[float, float]:
+        """Both for each 100 words, and GRACE words: log1p of the summed weights, and log1p of the different terms."""
         t = folded(text)
-        hits = [(end - n + 1, end, w) for end, (n, w) in self.automaton.iter(t)]
-        if not hits:
+        found = self.hits(t)
+        if not found:
             return 0.0, 0.0
-        spared = [(a, b) for a, b, w in hits if w is None]
-        total = sum(w for a, b, w in hits if w is not None and not any(x <= a and b <= y for x, y in spared))
-        return math.log1p(total), min(10.0, 100 * total / max(1, len(t.split())) / 10)
+        hundreds = (len(t.split()) + GRACE) / 100
+        return math.log1p(sum(w for *_, w in found) / hundreds), math.log1p(len({t[a : b + 1] for a, b, _ in found}) / hundreds)
 
     def score(self, text: str) -> float:
         a, b = self.features(text)
@@ -163,6 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
         return Scorer({}, exceptions, (-2.0, 0.0, 0.0))
     weights, spared = lexicon(written(counted(rows), "tox-terms"), pos, neg)
     made = Scorer(weights, [*spared, *exceptions])
+    made = Scorer(weights, [*spared, *phrases(rows, made), *exceptions])
 
     def work(batches):
         for batch in batches:
@@ -176,8 +237,9 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
 
 
 def scored(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs. Null and empty texts get the score of a text without hits;
-    equal texts get equal scores; other columns are not read."""
+    """doc_id, held_out, score and predicted of every row of docs. Null and empty texts get the score of a text without hits; very long
+    texts are searched whole, in time linear in their length; equal texts and repeated rows get equal scores; a document with several labels
+    is toxic if one says so; other columns are not read; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, exceptions))
 
     @F.arrow_udf("double")
