@@ -185,13 +185,6 @@ def test_html_odd_rows(spark):
     assert sorted(r["n_chars"] for r in got) == [0, 0, 37] and htmltext.extract(pages.where("false")).count() == 0
 
 
-def test_lm_is_normalised_and_learns(spark):
-    counts = np.zeros((lm.CONTEXTS, lm.SYMBOLS), np.int64)
-    counts[:50, :5], counts[50:100, 5:10] = 40, 40
-    p = lm.train(counts, steps=150)
-    assert np.allclose((10.0**p).sum(axis=1), 1, atol=1e-3) and (10.0 ** p[:50, :5]).sum() > 40 and (10.0 ** p[50:100, 5:10]).sum() > 40
-
-
 def test_lm_base_score_and_odd_rows(spark):
     rows = [(i, prose(40, i, 30), "", "", 0, "", "", "") for i in range(60)]
     docs = odd(spark).unionByName(odd(spark, rows))
