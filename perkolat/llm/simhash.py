@@ -260,11 +260,11 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Rows are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, found and verified exactly:
     64 bits of SimHash cannot tell 0.8 from 0.7. Rows are told apart by a written number, not by doc_id; a null id is last."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc"))
-    rows = rows.select("rid", "doc", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc").alias("tie"), neardup.shingles(text_of(F.col("doc.text")), shingle).alias("codes"))
-    with neardup.short_batches(docs.sparkSession):
-        rows = written(rows, "near-rows")
-        gone = neardup.later_rows(rows.select("rid", "id", "tie", "codes"))
-    return rows.select("rid", "doc").join(small(gone, 1_000_000), "rid", "left_anti").select("doc.*")
+    text = text_of(F.col("doc.text"))
+    rows = rows.select("rid", "doc", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc").alias("tie"), neardup.identity(text, shingle).alias("key"))
+    rows = written(rows, "near-rows")
+    gone = neardup.later_rows(rows.select("rid", "id", "tie", "key", text.alias("text")), shingle)
+    return rows.select("rid", "doc").join(small(gone, neardup.MAX_BROADCAST), "rid", "left_anti").select("doc.*")
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
