@@ -33,20 +33,20 @@ MAX_BROADCAST = 400_000
 E_COLS = ["token", "cid", "n", "pos", "sig", "sig2"]
 
 
-def lines(text: Column) -> Column:
-    """The lines of a text in lower case, with spaces alone between words."""
+def plain(text: Column) -> Column:
+    """The text in lower case, with spaces alone between the words of a line."""
     other = r"[\t\x0b-\r]"  # few texts have any, and splitting at one plain character is faster
-    return F.split(F.lower(F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)), "\n")
+    return F.lower(F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text))
 
 
-def hashes(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+def lines(text: Column) -> Column:
+    return F.split(plain(text), "\n")
 
 
 def rarity(docs: DataFrame, text_col: str) -> Column:
     """For each counter the logarithm of the words that fall to it, an array of a fixed size that is a constant of the plan."""
-    word = docs.select(F.explode(lines(text_of(text_col))).alias("line")).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
-    counts = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    word = docs.select(F.explode(F.split(F.replace(plain(text_of(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = word.groupBy(F.hash("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * COUNTERS
     for b, n in counts.select("b", F.least(F.floor(F.log2(F.col("n")) * 4), F.lit(126)).cast("int") + 1).collect():
         out[b] = n
@@ -56,11 +56,11 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
 def set_of(line: Column, ranks: Column) -> Column:
     """The set of a line's words, rarest first: for each the counter's value, then 56 bits of its hash."""
 
-    def key(c: Column) -> Column:
-        rank = ranks[c.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")].cast("long")
-        return F.coalesce(F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(c, 8)), F.lit(0).cast("long"))  # never null: arrays of plain longs
+    def key(w: Column) -> Column:
+        rank = ranks[F.hash(w).bitwiseAND(F.lit(COUNTERS - 1))].cast("long")
+        return F.coalesce(F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)), F.lit(0).cast("long"))  # never null: arrays of plain longs
 
-    return F.sort_array(F.transform(F.array_distinct(hashes(line)), key))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), key)))
 
 
 def raw_key(line: Column) -> list[Column]:
@@ -73,14 +73,14 @@ def lines_of(docs: DataFrame, ranks: Column, id_col: str, text_col: str, rid_col
     first line of a document is there in any case, with n = 0 if it has no word."""
     rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
     own = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), lines(text_of(text_col)).alias("lines"))
-    cut = own.select("rid", "doc_id", F.posexplode("lines").alias("at", "line"))
+    cut = own.select("rid", "doc_id", F.posexplode("lines").alias("at", "line")).where((F.trim("line") != "") | (F.col("at") == 0))
     keyed = cut.select("rid", "doc_id", "at", *raw_key(F.col("line")), set_of(F.col("line"), ranks).alias("k"))
     # The parity of the words by 128 classes of their hash: words with an even and those with an odd one.
     sig = [F.expr(f"aggregate(k, 0L, (a, c) -> a ^ shiftleft((c & 1) ^ {odd}L, cast(shiftright(c, 1) & 63 AS int)))").alias(name) for name, odd in (("sig", 0), ("sig2", 1))]
     n = F.size("k")
     prefix = F.when(n >= FEW, F.slice("k", F.lit(1), (n - F.ceil(n * NUM / DEN) + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
     out = keyed.select("rid", "doc_id", "at", "h1", "h2", F.xxhash64("k").alias("k1"), F.xxhash64(F.lit(1), "k").alias("k2"), n.alias("n"), *sig, prefix.alias("prefix"))
-    return freed(out.where("n > 0 or at = 0"), "line-lines")
+    return freed(out, "line-lines")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -113,10 +113,10 @@ def flips(a: str, b: str) -> Column:
 
 def led(own: DataFrame) -> DataFrame:
     """(a, b): for each class of own the likeliest of the earliest classes of its rarest words, written. A row for each class at most."""
-    few = own.withColumn("prefix", F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN)) + 1).cast("int")))
+    few = own.where(F.size("prefix") > 0).withColumn("prefix", F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * (2 * NUM) / (NUM + DEN)) + 1).cast("int")))
     parts = []
     for part in range(SLICES):
-        e = entries(few.where(F.size("prefix") > 0), part)
+        e = entries(few, part)
         lead = e.groupBy("token").agg(F.min(F.struct(*E_COLS[1:])).alias("l"), F.count("*").alias("c")).where("c > 1")
         lead = lead.select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in E_COLS[1:]])
         met = e.join(lead, "token").where((F.col("cid") > F.col("l_cid")) & may_be("", "l_"))
