@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,22 +74,56 @@ def slug(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def accents() -> tuple[str, str]:
+    """Letters with marks up to U+1EFF, and the plain letters that their decompositions begin with: the table is made by that rule."""
+    pairs = []
+    for code in range(0xC0, 0x1F00):
+        parts = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        if len(parts) == 1 and parts[0] != chr(code):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Words of administration that are no part of a place's name.
+ADMINISTRATIVE = "city|municipality|metropolitan|area|greater|province|prefecture|district"
+
+
 def normalised_name(c: Column) -> Column:
-    """Lower case, accents folded for Latin letters, punctuation to spaces, administrative words dropped, spaces collapsed."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case, marks off letters, punctuation to spaces, administrative words dropped, spaces collapsed."""
+    plain = F.regexp_replace(F.translate(F.lower(c), *accents()), r"\p{M}", "")
     spaced = F.regexp_replace(plain, r"[,._/\-()'’]", " ")
-    dropped = F.regexp_replace(spaced, r"\b(city|municipality|metropolitan|area|district|province|region|of)\b", " ")
+    dropped = F.regexp_replace(spaced, rf"\b({ADMINISTRATIVE})\b", " ")
     return F.trim(F.regexp_replace(dropped, r"\s+", " "))
 
 
 def position_seed(c: Column) -> Column:
-    """Sum over places i from 1 of i times the code point there."""
-    chars = F.split(c, "")
-    return F.aggregate(F.transform(chars, lambda x, i: (i + 1) * F.ascii(x)), F.lit(0), lambda a, x: a + x)
+    """Sum over places i from 1 of i times the code point there, in lower case."""
+    chars = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    return F.aggregate(F.transform(chars, lambda x, i: (i + 1).cast("long") * F.ascii(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def divided_if_set(a: Column, b: Column) -> Column:
+    """a / b where b is neither zero nor null."""
+    return F.when(b != 0, a / b)
+
+
+def divided_if_positive(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b)
+
+
+def log10_positive(c: Column) -> Column:
+    """log10 of positive values, else null."""
+    return F.when(c > 0, F.log10(c))
+
+
+def clipped(c: Column, low: float | None = None, high: float | None = None) -> Column:
+    """c held between the bounds given; null stays null."""
+    out = c if low is None else F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
+    return out if high is None else F.when(c.isNotNull(), F.least(out, F.lit(high)))
 
 
 def truthy_tag(c: Column) -> Column:
-    """Whether a tag is set to anything but no, false, none, 0, nan or nothing."""
+    """Whether a tag, or the joined items of a list of tags, is set to anything but no, false, none, 0, nan or nothing."""
     v = F.lower(F.trim(c))
     return F.coalesce(~v.isin("", "no", "false", "none", "0", "nan"), F.lit(False))
 

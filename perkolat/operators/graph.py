@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +86,13 @@ def component_summary(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     return g.join(m, "graph_id", "left").na.fill(0, ["m"]).select("graph_id", "n", "m", "components", "lcc", cyc.alias("cyclomatic"), (cyc / F.col("n")).alias("cyclomatic_density"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFrame:
-    """(graph_id, source, node, hops) from each source(graph_id, source): breadth first by joins, each level written."""
+def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(graph_id, source, node, hops) from each source(graph_id, source): breadth first by joins until no new node is met, each level written."""
     both = written(ends(edges), "hops-ends")
     key = ["graph_id", "source", "node"]
     front = written(sources.select("graph_id", "source", F.col("source").alias("node"), F.lit(0).alias("hops")), "hops")
     before, levels = None, [front]
-    for level in range(1, limit + 1):
+    for level in itertools.count(1):
         step = front.select(*key).join(both, ["graph_id", "node"]).select("graph_id", "source", F.col("other").alias("node")).distinct()
         new = step.join(front, key, "left_anti")  # a neighbour of this level is in it, in the one before or new
         new = new if before is None else new.join(before, key, "left_anti")
@@ -143,17 +145,27 @@ def hashed(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+def numbered(df: DataFrame, group: list[str], h: str, order: list[str]) -> DataFrame:
+    """df with `r`, from 0 within each group in the order of a hexadecimal hash and then `order`: rows are numbered within buckets of the
+    hash, whose counts give the offsets, so that no task sorts a whole group. df is read twice; it should be cheap or written."""
+    own = df.withColumn("_b", F.substring(h, 1, 3))
+    counts = own.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy(*group).orderBy("_b")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(h, *order)) - 1
+    return own.withColumn("_k", place).join(first, [*group, "_b"]).withColumn("r", F.col("_first") + F.col("_k")).drop("_b", "_k", "_first")
+
+
 def configuration_projection(edges: DataFrame, seed: int) -> DataFrame:
     """Stubs in the order of a seeded hash, paired two by two within a graph, loops dropped and parallel edges collapsed: degrees are kept nearly."""
     stubs = ends(edges).select("graph_id", "node", hashed(F.lit(seed), F.col("node"), F.col("other")).alias("h"))
-    r = F.row_number().over(Window.partitionBy("graph_id").orderBy("h", "node")) - 1
-    pairs = stubs.withColumn("r", r).groupBy("graph_id", F.floor(F.col("r") / 2).alias("k")).agg(F.min("node").alias("src"), F.max("node").alias("dst"), F.count("*").alias("c")).where("c = 2")
+    pairs = numbered(stubs, ["graph_id"], "h", ["node"]).groupBy("graph_id", F.floor(F.col("r") / 2).alias("k")).agg(F.min("node").alias("src"), F.max("node").alias("dst"), F.count("*").alias("c")).where("c = 2")
     return simple(pairs.select("graph_id", "src", "dst"))
 
 
 def shortcuts(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """edges and floor(fraction * m) random pairs of ranked nodes per graph; loops are dropped, duplicates stay."""
-    nodes = ends(edges).select("graph_id", "node").distinct().withColumn("r", F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1)
+    """edges and floor(fraction * m) random pairs of nodes, numbered in the order of their hash, per graph; loops are dropped, duplicates stay."""
+    nodes = ends(edges).select("graph_id", "node").distinct().withColumn("h", hashed(F.col("node")))
+    nodes = numbered(nodes, ["graph_id"], "h", ["node"]).drop("h")
     size = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).join(edges.groupBy("graph_id").agg(F.count("*").alias("m")), "graph_id")
     draw = size.where(F.floor(F.lit(fraction) * F.col("m")) > 0).select("graph_id", "n", F.explode(F.sequence(F.lit(1), F.floor(F.lit(fraction) * F.col("m")))).alias("k"))
     pick = lambda side: F.conv(F.substring(hashed(F.lit(seed), F.lit(side), F.col("graph_id"), F.col("k")), 1, 12), 16, 10).cast("long") % F.col("n")
@@ -161,3 +173,45 @@ def shortcuts(edges: DataFrame, fraction: float, seed: int) -> DataFrame:
     a, b = (nodes.select("graph_id", F.col("node").alias(c), F.col("r").alias(f"r{c}")) for c in "ab")
     new = drawn.join(a, ["graph_id", "ra"]).join(b, ["graph_id", "rb"]).select("graph_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return edges.select("graph_id", "a", "b").unionByName(new)
+
+
+def lcc_nodes(edges: DataFrame) -> DataFrame:
+    """(graph_id, node): the nodes of each graph's largest component; of equal ones that with the least node."""
+    own = labelled(edges)
+    size = own.groupBy("graph_id", "component").agg(F.count("*").alias("size"))
+    best = size.groupBy("graph_id").agg(F.min(F.struct((-F.col("size")).alias("s"), "component")).alias("m")).select("graph_id", F.col("m.component").alias("component"))
+    return own.join(best, ["graph_id", "component"], "left_semi").select("graph_id", "node")
+
+
+def sampled_pairs(nodes: DataFrame, pairs: int, seed: int) -> DataFrame:
+    """(graph_id, source, target): `pairs` pairs of different nodes of each graph by hash; fewer where a pair is drawn twice."""
+    own = numbered(nodes.withColumn("h", hashed(F.col("node"))), ["graph_id"], "h", ["node"]).drop("h")
+    n = own.groupBy("graph_id").agg(F.count("*").alias("n")).where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(pairs))))
+    pick = lambda side: F.conv(F.substring(hashed(F.lit(seed), F.lit(side), F.col("k")), 1, 12), 16, 10).cast("long") % F.col("n")
+    drawn = n.select("graph_id", pick("a").alias("ra"), pick("b").alias("rb")).where("ra <> rb")
+    a, b = (own.select("graph_id", F.col("node").alias(c), F.col("r").alias(f"r{i}")) for c, i in (("source", "a"), ("target", "b")))
+    return drawn.join(a, ["graph_id", "ra"]).join(b, ["graph_id", "rb"]).select("graph_id", "source", "target").distinct()
+
+
+def diluted_square(spark: SparkSession, side: int, percent: int, seed: int) -> DataFrame:
+    """Edges of an open square lattice that a hash keeps, percent of them in the mean."""
+    cells = spark.range(side * side).select(F.floor(F.col("id") / side).alias("x"), (F.col("id") % side).alias("y"))
+    step = F.explode(F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"))))
+    e = cells.select("x", "y", step.alias("s")).where((F.col("x") + F.col("s.dx") < side) & (F.col("y") + F.col("s.dy") < side))
+    e = e.select(F.lit("diluted").alias("graph_id"), (F.col("x") * side + F.col("y")).alias("a"), ((F.col("x") + F.col("s.dx")) * side + F.col("y") + F.col("s.dy")).alias("b"))
+    return e.where(F.conv(F.substring(hashed(F.lit(seed), F.col("a"), F.col("b")), 1, 8), 16, 10).cast("long") % 100 < percent)
+
+
+def vertex_split(edges: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(graph_id, a, b): nodes of degree 4 that a hash chooses, percent of them in the mean, become two of degree 3 joined by an edge; the
+    two first of their neighbours, by number, stay, the others go to the new node, which has the number -1 - node (nodes are not negative)."""
+    deg = degrees(edges).where("degree = 4")
+    chosen = deg.where(F.conv(F.substring(hashed(F.lit(seed), F.col("node")), 1, 8), 16, 10).cast("long") % 100 < percent).select("graph_id", "node")
+    half = ends(edges).join(chosen, ["graph_id", "node"])
+    moved = half.withColumn("k", F.row_number().over(Window.partitionBy("graph_id", "node").orderBy("other"))).where("k > 2").select("graph_id", "node", "other")
+    m1 = moved.select("graph_id", F.col("node").alias("a"), F.col("other").alias("b"), F.lit(True).alias("ma"))
+    m2 = moved.select("graph_id", F.col("other").alias("a"), F.col("node").alias("b"), F.lit(True).alias("mb"))
+    e = edges.select("graph_id", "a", "b").join(m1, ["graph_id", "a", "b"], "left").join(m2, ["graph_id", "a", "b"], "left")
+    src, dst = F.when(F.col("ma"), -1 - F.col("a")).otherwise(F.col("a")), F.when(F.col("mb"), -1 - F.col("b")).otherwise(F.col("b"))
+    new = chosen.select("graph_id", (-1 - F.col("node")).alias("src"), F.col("node").alias("dst"))
+    return simple(e.select("graph_id", src.alias("src"), dst.alias("dst")).unionByName(new))

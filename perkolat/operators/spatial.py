@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from perkolat.functions.columns import proper_cross
 
-from perkolat.lineage import written
+from perkolat.lineage import small, written
+
+#: Most graphs whose rows are broadcast.
+GRAPHS = 200_000
 
 
 def chords(edges: DataFrame, points: DataFrame) -> DataFrame:
@@ -21,17 +24,32 @@ def length(x: str = "") -> Column:
     return F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
 
 
+def cells_of(ch: DataFrame, extent: Column, factor: float) -> DataFrame:
+    """(graph_id, cell): factor times the median extent of a graph's chords; where that is 0 their largest, where that is 0 one."""
+    median, most = F.percentile(extent, F.lit(0.5)) * factor, F.max(extent)
+    cell = F.when(median > 0, median).when(most > 0, most).otherwise(1.0)
+    return ch.groupBy("graph_id").agg(cell.alias("cell"))
+
+
+def per_graph(df: DataFrame) -> DataFrame:
+    """A table of a row for each graph, written, and broadcast if there are few."""
+    return small(written(df, "per-graph"), GRAPHS)
+
+
+def levels_of(own: DataFrame) -> DataFrame:
+    """(graph_id, levels): few for each graph, logarithms of a ratio of lengths."""
+    return per_graph(own.groupBy("graph_id").agg(F.sort_array(F.collect_set("level")).alias("levels")))
+
+
 def crossings(ch: DataFrame, per_cell: float = 2.0) -> DataFrame:
     """(graph_id, e, f): pairs of chords without a common end that cross in an inner point, e < f.
 
     Chords meet in the cells of a grid that their boxes cover. Each chord has its own grid level, the smallest power of two at
     least its box; a pair meets on the coarser of its two levels, so that a long chord covers few cells, not many small ones."""
-    base = ch.groupBy("graph_id").agg((F.percentile(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))), F.lit(0.5)) * per_cell).alias("cell"))
     box = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(box / F.col("cell"))).cast("int"))
-    own = ch.join(F.broadcast(base), "graph_id").where("cell > 0").withColumn("level", level)  # one row for each graph
-    tops = own.groupBy("graph_id").agg(F.sort_array(F.collect_set("level")).alias("levels"))  # few: logarithms of a ratio of lengths
-    own = own.join(F.broadcast(tops), "graph_id").withColumn("at", F.explode(F.filter("levels", lambda v: v >= F.col("level"))))
+    level = F.when(box > F.col("cell"), F.ceil(F.log2(box / F.col("cell"))).cast("int")).otherwise(0)
+    own = ch.join(per_graph(cells_of(ch, box, per_cell)), "graph_id").withColumn("level", level)
+    own = own.join(levels_of(own), "graph_id").withColumn("at", F.explode(F.filter("levels", lambda v: v >= F.col("level"))))
     size = F.col("cell") * F.pow(F.lit(2.0), F.col("at"))
     span = lambda p, q: F.sequence(F.floor(F.least(p, q) / size), F.floor(F.greatest(p, q) / size))
     cells = own.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
@@ -56,7 +74,7 @@ def crossing_density(ch: DataFrame) -> DataFrame:
 def crossing_by_length(ch: DataFrame, q: float = 0.9) -> DataFrame:
     """Per graph crossings of two long, of a long and a short, and of two short chords; long: at least the q quantile of length."""
     cut = ch.groupBy("graph_id").agg(F.percentile(length(), F.lit(q)).alias("cut"))
-    own = ch.join(F.broadcast(cut), "graph_id").select("graph_id", F.struct("a", "b").alias("e"), (length() >= F.col("cut")).cast("int").alias("long"))
+    own = ch.join(per_graph(cut), "graph_id").select("graph_id", F.struct("a", "b").alias("e"), (length() >= F.col("cut")).cast("int").alias("long"))
     x = crossings(ch).join(own.withColumnRenamed("long", "l1"), ["graph_id", "e"]).join(own.withColumnsRenamed({"e": "f", "long": "l2"}), ["graph_id", "f"])
     n = F.col("l1") + F.col("l2")
     return x.groupBy("graph_id").agg(F.count_if(n == 2).alias("long_long"), F.count_if(n == 1).alias("long_short"), F.count_if(n == 0).alias("short_short"))
@@ -99,9 +117,10 @@ def junction_angles(ch: DataFrame, near: float = 10.0) -> DataFrame:
 def knn(points: DataFrame, k: int, per_cell: float = 4.0) -> DataFrame:
     """(graph_id, node, other, rank): each point's k nearest others by distance, then id. Exact: rings of grid cells are searched
     outward; a point is done once its k-th neighbour is nearer than the ring's edge."""
+    points = points.where("x is not null and y is not null")  # no others take part, or count
     g = points.groupBy("graph_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("span"), F.count("*").alias("n"))
     g = g.withColumn("cell", F.col("span") / F.greatest(F.lit(1.0), F.sqrt(F.col("n") / per_cell)))
-    own = points.where("x is not null and y is not null").join(F.broadcast(g), "graph_id")  # one row for each graph
+    own = points.join(per_graph(g), "graph_id")
     own = own.withColumn("cx", F.floor((F.col("x") - F.col("x0")) / F.col("cell"))).withColumn("cy", F.floor((F.col("y") - F.col("y0")) / F.col("cell")))
     target = own.select("graph_id", F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
     todo, done, ring = own, None, 1
@@ -128,14 +147,19 @@ def pruned(ch: DataFrame, points: DataFrame, rule: str) -> DataFrame:
         mx, my, rad = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2, length() / 2
     else:
         mx, my, rad = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2, length()
-    cell = ch.groupBy("graph_id").agg((F.percentile(length(), F.lit(0.5)) * 2).alias("cell"))
-    own = ch.withColumn("mx", mx).withColumn("my", my).withColumn("rad", rad).join(F.broadcast(cell), "graph_id").where("cell > 0")
-    span = lambda m: F.sequence(F.floor((F.col(m) - F.col("rad")) / F.col("cell")), F.floor((F.col(m) + F.col("rad")) / F.col("cell")))
+    own = ch.withColumn("mx", mx).withColumn("my", my).withColumn("rad", rad)
+    cell = per_graph(cells_of(own, F.col("rad"), 2.0))
+    # An edge is looked up on the grid of its own level, the smallest power of two at least its radius: it covers few cells however long.
+    level = F.when(F.col("rad") > F.col("cell"), F.ceil(F.log2(F.col("rad") / F.col("cell"))).cast("int")).otherwise(0)
+    own = own.join(cell, "graph_id").withColumn("level", level)
+    size = F.col("cell") * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda m: F.sequence(F.floor((F.col(m) - F.col("rad")) / size), F.floor((F.col(m) + F.col("rad")) / size))
     probe = own.withColumn("cx", F.explode(span("mx"))).withColumn("cy", F.explode(span("my")))
-    at = points.join(F.broadcast(cell), "graph_id").where("cell > 0").select("graph_id", F.col("node").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / F.col("cell")).alias("cx"), F.floor(F.col("y") / F.col("cell")).alias("cy"))
+    at = points.join(cell, "graph_id").join(levels_of(own), "graph_id").withColumn("level", F.explode("levels"))
+    at = at.select("graph_id", "level", F.col("node").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     sq = lambda x, y: F.pow(F.col("px") - F.col(x), 2) + F.pow(F.col("py") - F.col(y), 2)
     d2 = F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)
     third = (F.col("p") != F.col("a")) & (F.col("p") != F.col("b"))
     inside = (sq("ax", "ay") + sq("bx", "by") < d2) if rule == "gabriel" else (sq("ax", "ay") < d2) & (sq("bx", "by") < d2)
-    blocked = probe.join(at, ["graph_id", "cx", "cy"]).where(third & inside).select("graph_id", "a", "b").distinct()
+    blocked = probe.join(at, ["graph_id", "level", "cx", "cy"]).where(third & inside).select("graph_id", "a", "b").distinct()
     return ch.join(blocked, ["graph_id", "a", "b"], "left_anti").select("graph_id", "a", "b")

@@ -234,7 +234,7 @@ def config_model_projection_md5(t):
     return graph.configuration_projection(t.brand_edges(), 1)
 
 
-@query(f"""WITH {EDGES}, nd AS (SELECT graph_id, node, row_number() OVER (PARTITION BY graph_id ORDER BY node) - 1 AS r FROM deg),
+@query(f"""WITH {EDGES}, nd AS (SELECT graph_id, node, row_number() OVER (PARTITION BY graph_id ORDER BY md5(node::VARCHAR), node) - 1 AS r FROM deg),
 sz AS (SELECT graph_id, (SELECT count(*) FROM nd WHERE nd.graph_id = g.graph_id) AS n, count(*) AS m FROM e g GROUP BY graph_id),
 dr AS (SELECT graph_id, n, unnest(range(1, floor(0.1 * m)::BIGINT + 1)) AS k FROM sz),
 pk AS (SELECT graph_id, ('0x' || substr(md5('3|a|' || graph_id || '|' || k), 1, 12))::BIGINT % n AS ra, ('0x' || substr(md5('3|b|' || graph_id || '|' || k), 1, 12))::BIGINT % n AS rb FROM dr)

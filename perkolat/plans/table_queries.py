@@ -179,14 +179,17 @@ def feature_list_explode(t):
     return records.feature_list(t.part, ["p_partkey"], "p_name", " ")
 
 
-@query("""SELECT DISTINCT c_mktsegment AS raw, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(c_mktsegment), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[,._/\\-()''’]', ' ', 'g'),
-'\\b(city|municipality|metropolitan|area|district|province|region|of)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS name, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM customer""")
+NAMES = """SELECT 'Zürich–Öst, Greater-City of ' || n_name || ' Área (Préfecture)' AS raw FROM nation UNION SELECT c_mktsegment FROM customer"""
+
+
+@query(f"""SELECT raw, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(raw)), '[,._/\\-()''’]', ' ', 'g'),
+'\\b(city|municipality|metropolitan|area|greater|province|prefecture|district)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS name, trim(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM ({NAMES})""")
 def name_normalise(t):
-    c = F.col("c_mktsegment")
-    return t.customer.select(c.alias("raw"), C.normalised_name(c).alias("name"), C.slug(c).alias("slug")).distinct()
+    raw = t.nation.select(F.concat(F.lit("Zürich–Öst, Greater-City of "), "n_name", F.lit(" Área (Préfecture)")).alias("raw")).unionByName(t.customer.select(F.col("c_mktsegment").alias("raw"))).distinct()
+    return raw.select("raw", C.normalised_name(F.col("raw")).alias("name"), C.slug(F.col("raw")).alias("slug"))
 
 
-@query("SELECT n_name, list_sum(list_transform(range(1, len(n_name) + 1), lambda i: i * ascii(n_name[i])))::INT AS seed FROM nation")
+@query("SELECT n_name, list_sum(list_transform(range(1, len(n_name) + 1), lambda i: i * unicode(lower(n_name)[i])))::BIGINT AS seed FROM nation")
 def position_seed(t):
     return t.nation.select("n_name", C.position_seed(F.col("n_name")).alias("seed"))
 
