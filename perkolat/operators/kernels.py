@@ -88,9 +88,20 @@ def nonbacktracking(pdf: pd.DataFrame, steps: int = 160, tol: float = 1e-8) -> p
         x, done, rho = y / norm, abs(new - rho) <= tol * max(1.0, abs(new)), new
         if done:
             break
-    w = np.sort(x**2)[::-1]
-    top = lambda s: float(w[: int(np.ceil(s * len(w)))].sum())
-    return pd.DataFrame({"rho": [rho], "p_nb": [1 / rho if rho > 1e-12 else None], "ipr": [float((w**2).sum())], "top1": [top(0.01)], "top5": [top(0.05)], "steps": [step]})
+    def localisation(w: np.ndarray) -> tuple[float, float, float]:
+        """Sum of squares, the largest, and the share of the largest twentieth of weights that sum to one."""
+        top = np.sort(w)[::-1]
+        return float((w**2).sum()), float(top[0]), float(top[: max(1, int(np.ceil(0.05 * len(top))))].sum())
+
+    x = np.maximum(x, 0.0)
+    w = x / max(float(x.sum()), 1e-300)
+    node = np.bincount(dst, w, len(nodes))
+    node = node / max(float(node.sum()), 1e-300)
+    some = node[node > 0]
+    out = {"rho": rho, "p_nb": 1 / rho if rho > 1e-12 else None}
+    out |= dict(zip(("ipr", "top1", "top5"), localisation(w))) | dict(zip(("node_ipr", "node_top1", "node_top5"), localisation(node)))
+    out["node_entropy"] = float(-(some * np.log(some)).sum() / np.log(max(2, len(some))))
+    return pd.DataFrame([out | {"steps": step}])
 
 
 class ChordGrid:
@@ -117,12 +128,12 @@ class ChordGrid:
         for c in self.cover(e):
             self.cells[c].discard(e)
 
-    def crossed(self, e, cap: int = 10**9) -> int:
-        """Chords without a common end that e crosses in an inner point, counted up to cap."""
+    def crossed(self, e, cap: int = 10**9, test=None) -> int:
+        """Chords without a common end that e crosses in an inner point (or for which test holds), counted up to cap."""
         near = set().union(*(self.cells[c] for c in self.cover(e) if c in self.cells)) if self.cells else set()
         n = 0
         for f in near:
-            if not {*e} & {*f} and crosses(self.xy, e, f):
+            if not {*e} & {*f} and (test or crosses)(self.xy, e, f):
                 n += 1
                 if n >= cap:
                     break
@@ -135,11 +146,23 @@ def crosses(xy, e, f) -> bool:
     return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
 
 
+#: Chords by midpoint among which a partner is drawn.
+NEAREST = 180
+
+
+def meets(xy, e, f) -> bool:
+    """Whether two segments have a point in common: crossing, touching or lying on each other."""
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    a, b, c, d = xy[e[0]], xy[e[1]], xy[f[0]], xy[f[1]]
+    apart = any(max(a[k], b[k]) < min(c[k], d[k]) or max(c[k], d[k]) < min(a[k], b[k]) for k in (0, 1))
+    return not apart and side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
+
+
 def rewired(pdf: pd.DataFrame, points: pd.DataFrame | None, mode: str, fraction: float, seed: int, bins: int = 8, tol: float = 0.3, tries: int = 60) -> tuple[list, dict]:
-    """A chain of double-edge swaps on one graph until fraction * m edges have moved or tries are spent. Degrees never change.
+    """A chain of double-edge swaps on one graph until round(fraction * m) are accepted or tries are spent. Degrees never change.
 
-    mode: 'degree' any simple swap; 'slots' new chords within tol of the length slots that they replace; 'noncross' besides, no
-    new crossing; 'cross' each swap makes at least one new chord that crosses one to three others."""
+    mode: 'degree' any simple swap; 'slots' new chords within tol of the length slots that they replace; 'noncross' besides, new chords
+    have no point in common with chords that share no end, and partners are among the NEAREST."""
     rng = np.random.default_rng(seed)
     ids = sorted(set(pdf["a"]) | set(pdf["b"]))
     at = {v: i for i, v in enumerate(ids)}
@@ -150,11 +173,18 @@ def rewired(pdf: pd.DataFrame, points: pd.DataFrame | None, mode: str, fraction:
     lengths = np.array([size(e) for e in edges]) if size else np.zeros(m)
     q = np.quantile(lengths, np.linspace(0, 1, bins + 1)) if m and size else None
     slot = lambda v: int(np.clip(np.searchsorted(q, v, side="right") - 1, 0, bins - 1))
-    grid = ChordGrid(xy, edges) if mode in ("noncross", "cross") else None
-    goal, moved, attempts, rejected = int(fraction * m) // 2, 0, 0, defaultdict(int)
+    grid = ChordGrid(xy, edges) if mode == "noncross" else None
+    middle = xy[np.array(edges).reshape(-1, 2)].mean(axis=1) if grid else None
+    goal, moved, attempts, rejected = round(fraction * m), 0, 0, defaultdict(int)
     while moved < goal and attempts < tries * max(goal, 1) and m > 1:
         attempts += 1
-        i, j = rng.integers(0, m, 2)
+        i = int(rng.integers(m))
+        if grid:  # a partner among the nearest by midpoint
+            far = ((middle - middle[i]) ** 2).sum(axis=1)
+            near = np.argpartition(far, min(NEAREST, m - 1))[: NEAREST + 1]
+            j = int(near[rng.integers(len(near))])
+        else:
+            j = int(rng.integers(m))
         (a, b), (c, d) = edges[i], edges[j]
         if rng.random() < 0.5:
             c, d = d, c
@@ -166,22 +196,21 @@ def rewired(pdf: pd.DataFrame, points: pd.DataFrame | None, mode: str, fraction:
             ok = True
             for e, old in zip(new, (edges[i], edges[j])):
                 s = slot(size(old))
-                ok &= q[s] * (1 - tol) <= size(e) <= q[s + 1] * (1 + tol) if mode != "cross" else True
+                ok &= q[s] * (1 - tol) <= size(e) <= q[s + 1] * (1 + tol)
             if not ok:
                 rejected["length"] += 1
                 continue
         if grid:
             for e in (edges[i], edges[j]):
                 grid.drop(e)
-            n = [grid.crossed(e, 4) for e in new]
-            both = crosses(xy, *new) if not {*new[0]} & {*new[1]} else False
-            if (mode == "noncross" and (max(n) > 0 or both)) or (mode == "cross" and not (1 <= max(n) <= 3)):
+            if any(grid.crossed(e, 1, meets) for e in new) or not {*new[0]} & {*new[1]} and meets(xy, *new):
                 for e in (edges[i], edges[j]):
                     grid.put(e)
                 rejected["crossing"] += 1
                 continue
-            for e in new:
+            for k, e in zip((i, j), new):
                 grid.put(e)
+                middle[k] = xy[list(e)].mean(axis=0)
         have -= {edges[i], edges[j]}
         have |= set(new)
         edges[i], edges[j] = new

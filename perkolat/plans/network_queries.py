@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from perkolat.functions import columns as C
-from perkolat.operators import graph, kernels, percolation, screening, spatial
+from perkolat.lineage import written
+from perkolat.operators import dials, graph, kernels, percolation, screening, spatial
 
 from .base import EDGES, MOMENTS, NEAR, NETWORKS, R, query
 
@@ -290,7 +291,13 @@ def lcc_curve_l2(t):
     return percolation.curve_l2(mean(percolation.curves(flagged(t, "A"), 3, GRID, 1)), mean(percolation.curves(flagged(t, "R"), 3, GRID, 1)))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT i, j FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j)),
+s AS (SELECT j * 64 + i AS u, j * 64 + (i + 1) % 64 AS v FROM c UNION ALL SELECT j * 64 + i, ((j + 1) % 64) * 64 + i FROM c UNION ALL SELECT j * 64 + i, ((j + 1) % 64) * 64 + (i + 1) % 64 FROM c),
+e AS (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM s WHERE u <> v), k AS (SELECT a, b FROM e WHERE ('0x' || substr(md5('tau|' || a || '|' || b), 1, 8))::BIGINT < 0.3473 * 4294967296),
+ee AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), rr AS (SELECT a AS node, a AS r FROM ee UNION SELECT ee.b, rr.r FROM rr JOIN ee ON ee.a = rr.node),
+cc AS (SELECT node, min(r) AS component FROM rr GROUP BY node), z AS (SELECT count(*) AS size, row_number() OVER (ORDER BY count(*) DESC) AS r FROM cc GROUP BY component),
+h AS (SELECT floor(log2(size)) AS bin, count(*) AS c FROM z WHERE r > 1 AND size BETWEEN 2 AND 512 GROUP BY 1)
+SELECT 'triangular' AS graph_id, count(*) AS bins, """ + R("CASE WHEN count(*) >= 3 THEN -regr_slope(ln(c / pow(2, bin)), ln(pow(2, bin + 0.5))) END") + """ AS tau FROM h""")
 def fisher_exponent(t):
     """Cluster sizes of a triangular lattice whose bonds are kept at its threshold by hash."""
     e = graph.lattice(t.spark, "triangular", 64).where(F.conv(F.substring(graph.hashed(F.lit("tau"), F.col("a"), F.col("b")), 1, 8), 16, 10).cast("double") < 0.3473 * 2**32)
@@ -298,27 +305,117 @@ def fisher_exponent(t):
     return percolation.fisher_exponent(sizes, 2, 512)
 
 
-@query()
+CUTS = f"""WITH RECURSIVE {NEAR}, ee AS (SELECT a, b, a AS ea, b AS eb FROM e UNION ALL SELECT b, a, a, b FROM e),
+we AS (SELECT a AS ea, b AS eb, a AS node FROM e UNION SELECT we.ea, we.eb, ee.b FROM we JOIN ee ON ee.a = we.node AND NOT (ee.ea = we.ea AND ee.eb = we.eb)),
+br AS (SELECT count(*) AS bridges FROM e WHERE NOT EXISTS (SELECT 1 FROM we WHERE we.ea = e.a AND we.eb = e.b AND we.node = e.b)),
+st AS (SELECT a AS cut, min(b) AS root FROM ee GROUP BY a),
+wv AS (SELECT cut, root AS node FROM st UNION SELECT wv.cut, ee.b FROM wv JOIN ee ON ee.a = wv.node AND ee.b <> wv.cut),
+ap AS (SELECT count(DISTINCT st.cut) AS points FROM st JOIN ee ON ee.a = st.cut WHERE NOT EXISTS (SELECT 1 FROM wv WHERE wv.cut = st.cut AND wv.node = ee.b))"""
+
+
+@query(f"{CUTS} SELECT 'emb' AS graph_id, (SELECT count(*) FROM e) AS m, bridges, points AS articulation_points FROM br, ap")
 def bridges_articulation(t):
-    return kernels.per_graph(t.near_edges(), kernels.cut_structure, "m long, bridges long, articulation_points long, largest_block_share double")
+    return kernels.per_graph(t.near_edges(), kernels.cut_structure, "m long, bridges long, articulation_points long, largest_block_share double").drop("largest_block_share")
+
+
+@query()
+def largest_block(t):
+    return kernels.per_graph(t.near_edges(), kernels.cut_structure, "m long, bridges long, articulation_points long, largest_block_share double").select("graph_id", "m", "largest_block_share")
 
 
 @query()
 def nb_spectral_radius(t):
-    return kernels.per_graph(t.brand_edges(), kernels.nonbacktracking, "rho double, p_nb double, ipr double, top1 double, top5 double, steps long")
+    return kernels.per_graph(t.brand_edges(), kernels.nonbacktracking, "rho double, p_nb double, ipr double, top1 double, top5 double, node_ipr double, node_top1 double, node_top5 double, node_entropy double, steps long")
+
+
+def held(before, after, keys):
+    """Per graph and keys of a chain: edges after, nodes whose degree differs from that before, edges that are loops, and edges twice there."""
+    d0 = graph.degrees(before).withColumnRenamed("degree", "d0")
+    half = after.select("graph_id", *keys, F.explode(F.array("a", "b")).alias("node")).groupBy("graph_id", *keys, "node").agg(F.count("*").alias("d1"))
+    stages = after.select("graph_id", *keys).distinct()
+    both = stages.join(d0, "graph_id").join(half, ["graph_id", *keys, "node"], "left")
+    changed = both.groupBy("graph_id", *keys).agg(F.count_if(F.col("d0") != F.coalesce("d1", F.lit(0))).alias("changed_degrees"))
+    pairs = after.groupBy("graph_id", *keys, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("k"))
+    form = pairs.groupBy("graph_id", *keys).agg(F.sum("k").alias("m"), F.sum(F.when(F.col("u") == F.col("v"), F.col("k")).otherwise(0)).alias("loops"), F.count_if(F.col("k") > 1).alias("parallel"))
+    return form.join(changed, ["graph_id", *keys])
 
 
 def chain(mode: str, fractions: list[float]):
     def of(t):
-        return kernels.null_models(t.near_edges(), t.points(), mode, fractions, 2, 17).groupBy("graph_id", "fraction", "rep", "status").agg(F.count("*").alias("edges"), *[F.max(c).alias(c) for c in ("m", "swaps", "attempts", "achieved", "rejected_simple", "rejected_length", "rejected_crossing", "tvd_fixed_bins")])
+        e = t.near_edges()
+        made = written(kernels.null_models(e, t.points(), mode, fractions, 2, 17), "chain")
+        told = made.groupBy("graph_id", "fraction", "rep", "status").agg(F.max(F.col("swaps") > 0).alias("moved"))
+        return held(e, made, ["fraction", "rep"]).join(told, ["graph_id", "fraction", "rep"])
 
     return of
 
 
-for _name, _mode, _f in (("double_swap", "degree", [0.5]), ("spatial_slot_rewire", "slots", [0.2]), ("noncross_rewire", "noncross", [0.05]), ("chi_dial", "cross", [0.02, 0.04]), ("matched_dial", "noncross", [0.01, 0.02, 0.04])):
-    _fn = chain(_mode, _f)
+for _name, _mode, _f in (("double_swap", "degree", 0.5), ("spatial_slot_rewire", "slots", 0.2), ("noncross_rewire", "noncross", 0.05)):
+    _fn = chain(_mode, [_f])
     _fn.__name__ = _name
-    query()(_fn)
+    query(f"WITH {NEAR} SELECT 'emb' AS graph_id, {_f}::DOUBLE AS fraction, rep::INT AS rep, count(*) AS m, 0::BIGINT AS loops, 0::BIGINT AS parallel, 0::BIGINT AS changed_degrees, 'pass' AS status, true AS moved FROM e, (SELECT unnest([0, 1]) AS rep) GROUP BY rep")(_fn)
+
+
+def dial(t, arms, stages):
+    """Each arm and stage of a dial: the form held, and whether its crossings are more than the stage before's."""
+    ch = t.chords()
+    made = written(dials.chains(ch, arms, stages, 17), "dial")
+    out = held(t.near_edges(), made, ["arm", "stage"])
+    staged = made.select(F.concat_ws("|", "graph_id", "arm", "stage").alias("graph_id"), "a", "b")
+    pts = made.select("graph_id", F.concat_ws("|", "graph_id", "arm", "stage").alias("g")).distinct().join(t.points(), "graph_id").select(F.col("g").alias("graph_id"), "node", "x", "y")
+    chi = spatial.crossing_density(spatial.chords(staged, pts)).select(F.col("graph_id").alias("g"), "crossings")
+    start = spatial.crossing_density(ch).select("graph_id", F.col("crossings").alias("at_first"))
+    return out.withColumn("g", F.concat_ws("|", "graph_id", "arm", "stage")).join(chi, "g").join(start, "graph_id").drop("g")
+
+
+@query(f"WITH {NEAR} SELECT 'emb' AS graph_id, arm, stage::DOUBLE AS stage, count(*) AS m, 0::BIGINT AS loops, 0::BIGINT AS parallel, 0::BIGINT AS changed_degrees, arm = 'cross' AS more_crossings FROM e, (SELECT unnest(['cross', 'noncross']) AS arm), (SELECT unnest([0.02, 0.04, 0.08]) AS stage) GROUP BY ALL")
+def matched_dial(t):
+    out = dial(t, ["cross", "noncross"], [0.02, 0.04, 0.08])
+    return out.withColumn("more_crossings", F.col("crossings") > F.col("at_first")).drop("crossings", "at_first")
+
+
+@query(f"WITH {NEAR} SELECT 'emb' AS graph_id, 'target' AS arm, stage::DOUBLE AS stage, count(*) AS m, 0::BIGINT AS loops, 0::BIGINT AS parallel, 0::BIGINT AS changed_degrees, true AS reached FROM e, (SELECT unnest([0.0, 0.02, 0.05]) AS stage) GROUP BY ALL")
+def chi_dial(t):
+    """A stage is reached if crossings per edge have risen by its increment."""
+    out = dial(t, ["target"], [0.02, 0.05])
+    return out.withColumn("reached", (F.col("crossings") - F.col("at_first")) / F.col("m") >= F.col("stage") - 1e-9).drop("crossings", "at_first")
+
+
+@query("WITH c AS (SELECT unnest(range(40)) AS x), s AS (SELECT c.x, d.x AS y FROM c, c d), e AS (SELECT x * 40 + y AS a, (x + 1) * 40 + y AS b FROM s WHERE x + 1 < 40 UNION ALL SELECT x * 40 + y, x * 40 + y + 1 FROM s WHERE y + 1 < 40) SELECT a, b FROM e WHERE ('0x' || substr(md5('5|' || a || '|' || b), 1, 8))::BIGINT % 100 < 70")
+def diluted_square(t):
+    return graph.diluted_square(t.spark, 40, 70, 5).select("a", "b")
+
+
+@query(f"WITH c AS (SELECT count(*) FILTER (('0x' || substr(md5('5|' || node), 1, 8))::BIGINT % 100 < 30) AS k FROM (SELECT unnest(range(400)) AS node)) SELECT 400 + k AS n, 800 + k AS m, 2 * k AS degree3, 400 - k AS degree4, {R('2 / (2 * (800 + k) / (400 + k))')} AS two_over_k FROM c")
+def vertex_split_counts(t):
+    m = graph.moments(graph.degrees(graph.vertex_split(graph.lattice(t.spark, "square", 20), 30, 5)))
+    n3, n4 = (F.round(F.col(f"share{i}") * F.col("n")).cast("long") for i in (3, 4))
+    return m.select("n", "m", n3.alias("degree3"), n4.alias("degree4"), "two_over_k")
+
+
+KEPT = "('0x' || substr(md5('8|' || a || '|' || b), 1, 8))::BIGINT % 100 < 80"
+
+
+@query(f"""{COMPONENTS.replace('FROM e UNION ALL SELECT b, a FROM e)', 'FROM e WHERE ' + KEPT + ' UNION ALL SELECT b, a FROM e WHERE ' + KEPT + ')')}, z AS (SELECT component, count(*) AS size FROM cc GROUP BY 1), n AS (SELECT count(*) AS n FROM (SELECT a FROM e UNION SELECT b FROM e))
+SELECT 'emb' AS graph_id, {R('max(size) / max(n)')} AS lcc_fraction FROM z, n""")
+def lcc_fraction(t):
+    """The largest component's share of all nodes when a hash keeps 80 of 100 edges."""
+    e = t.near_edges()
+    nodes = graph.ends(e).select("graph_id", "node").distinct()
+    kept = e.where(F.conv(F.substring(graph.hashed(F.lit(8), F.col("a"), F.col("b")), 1, 8), 16, 10).cast("long") % 100 < 80)
+    return graph.component_summary(kept, nodes).select("graph_id", F.col("lcc").alias("lcc_fraction"))
+
+
+@query(f"""{COMPONENTS}, z AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), l AS (SELECT node, row_number() OVER (ORDER BY md5(node::VARCHAR), node) - 1 AS r, count(*) OVER () AS n FROM cc JOIN z USING (component)),
+d AS (SELECT DISTINCT u.node AS source, v.node AS target FROM (SELECT k, ('0x' || substr(md5('4|a|' || k), 1, 12))::BIGINT % (SELECT max(n) FROM l) AS ra, ('0x' || substr(md5('4|b|' || k), 1, 12))::BIGINT % (SELECT max(n) FROM l) AS rb FROM (SELECT unnest(range(1, 31)) AS k)) q JOIN l u ON u.r = ra JOIN l v ON v.r = rb WHERE ra <> rb),
+w AS (SELECT DISTINCT source, source AS node, 0 AS hops FROM d UNION SELECT w.source, ee.b, w.hops + 1 FROM w JOIN ee ON ee.a = w.node WHERE w.hops < 60)
+SELECT 'emb' AS graph_id, d.source, d.target, min(hops)::INT AS hops FROM d JOIN w ON w.source = d.source AND w.node = d.target GROUP BY ALL""")
+def path_pairs(t):
+    """Path lengths between node pairs that a hash draws from the largest component."""
+    e = t.near_edges()
+    pairs = written(graph.sampled_pairs(graph.lcc_nodes(e), 30, 4), "pairs")
+    far = graph.hops(e, pairs.select("graph_id", "source").distinct())
+    return pairs.join(far.withColumnRenamed("node", "target"), ["graph_id", "source", "target"])
 
 
 @query()
