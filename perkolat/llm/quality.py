@@ -103,7 +103,8 @@ def rules(text: Column, ws: Column, repeat_words: Column | None = None) -> list[
         Rule("symbols", n_symbols(text) * 10 > 2 * n),
         Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
         Rule("letters", letters * 2 < chars),
-        Rule("distinct_words", distinct_words(ws) * 100 < 30 * n),
+        # Blocks hold at least as many distinct words as the text: they are counted only where the text has few.
+        Rule("distinct_words", (F.size(F.array_distinct(ws)) * 100 < 30 * n) & (distinct_words(ws) * 100 < 30 * n)),
         Rule("dup_lines", n_dup_lines(text) * 2 > F.size(F.split(text, "\n"))),
         Rule("repeats", repeat_words * 100 > 30 * n),
     ]
