@@ -6,11 +6,15 @@ intervals are windows and joins over the curves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perkolat.lineage import written
+
 from .graph import hashed
 
 
@@ -61,11 +65,16 @@ def lcc_curve(a: np.ndarray, b: np.ndarray, ps: list[float]) -> np.ndarray:
 
 def curves(edges: DataFrame, perms: int, ps: list[float], seed: int) -> DataFrame:
     """(graph_id, perm, p_idx, p, lcc) for edges(graph_id, a, b)."""
+    return ordered_curves(edges, perms, seed, lambda pdf: ps)
+
+
+def ordered_curves(edges: DataFrame, perms: int, seed: int, grid_of: Callable[[pd.DataFrame], list[float]]) -> DataFrame:
+    """curves() on the grid that a graph's rows give."""
     own = edges.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
     own = own.withColumn("h", hashed(F.lit(seed), F.col("perm"), F.col("a"), F.col("b")))
 
     def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "a", "b"])
+        pdf, ps = pdf.sort_values(["h", "a", "b"]), grid_of(pdf)
         y = lcc_curve(pdf["a"].to_numpy(), pdf["b"].to_numpy(), ps)
         return pd.DataFrame({"graph_id": key[0], "perm": key[1], "p_idx": np.arange(len(ps), dtype=np.int32), "p": ps, "lcc": y})
 
@@ -73,6 +82,21 @@ def curves(edges: DataFrame, perms: int, ps: list[float], seed: int) -> DataFram
     return own.groupBy("graph_id", "perm").applyInPandas(work, f"graph_id {kind}, perm int, p_idx int, p double, lcc double")
 
 
+def fine_grid(pc: float, width: float, step: float, lo: float = 0.03, hi: float = 0.97) -> list[float]:
+    """Steps from pc - width to pc + width, within [lo, hi]."""
+    first, last = max(lo, pc - width), min(hi, pc + width)
+    return [round(first + i * step, 4) for i in range(int((last - first) / step + 1e-6) + 1)]
+
+
+def fine_threshold(edges: DataFrame, seed: int, coarse: tuple[int, list[float]], perms: int = 24, reps: int = 200, width: float = 0.06, step: float = 0.005) -> DataFrame:
+    """(graph_id, pc_coarse, pc, pc_mean, ci_low, ci_high, boundary_share): a threshold by coarse = (permutations, grid), then again, with
+    other orders, on a fine grid about it, with a bootstrap over the permutations."""
+    first = written(threshold(curves(edges, coarse[0], coarse[1], seed)).select("graph_id", F.col("pc").alias("pc_coarse")), "pc-coarse")
+    about = edges.select("graph_id", "a", "b").join(first, "graph_id")
+    cv = written(ordered_curves(about, perms, seed + 1, lambda pdf: fine_grid(float(pdf["pc_coarse"].iloc[0]), width, step)), "pc-fine")
+    return first.join(threshold(cv).select("graph_id", "pc"), "graph_id").join(bootstrap_threshold(cv, perms, reps, seed + 2), "graph_id")
+
+
 def gradient_argmax(mean: DataFrame, keys: list[str]) -> DataFrame:
     """Where the curve (p_idx, p, lcc) rises most: central differences, one-sided at the ends, the first of equals. Of fewer than three points the highest."""
     w, every = Window.partitionBy(*keys).orderBy("p_idx"), Window.partitionBy(*keys)

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perkolat.functions.columns import proper_cross
-
 from perkolat.lineage import small, written
 
+from .graph import lcc_nodes
+
+#: Metres of a degree of latitude, and of one of longitude at the equator, by which a disc is cut: fixed values.
+M_PER_LAT, M_PER_LON = 111_132.0, 111_320.0
 #: Most graphs whose rows are broadcast.
 GRAPHS = 200_000
 
@@ -163,3 +166,15 @@ def pruned(ch: DataFrame, points: DataFrame, rule: str) -> DataFrame:
     inside = (sq("ax", "ay") + sq("bx", "by") < d2) if rule == "gabriel" else (sq("ax", "ay") < d2) & (sq("bx", "by") < d2)
     blocked = probe.join(at, ["graph_id", "level", "cx", "cy"]).where(third & inside).select("graph_id", "a", "b").distinct()
     return ch.join(blocked, ["graph_id", "a", "b"], "left_anti").select("graph_id", "a", "b")
+
+
+def disc(edges: DataFrame, points: DataFrame, centres: DataFrame, radius_m: float) -> DataFrame:
+    """edges(graph_id, a, b) between points within a radius of their graph's centre(graph_id, lon, lat), cut down to the largest component
+    of what is left; x is the longitude, y the latitude. A graph without an edge in its disc has no row."""
+    near = F.pow((F.col("x") - F.col("lon")) * M_PER_LON * F.cos(F.radians("lat")), 2) + F.pow((F.col("y") - F.col("lat")) * M_PER_LAT, 2)
+    inside = points.join(small(centres, GRAPHS), "graph_id").where(near <= radius_m * radius_m).select("graph_id", "node")
+    own = edges.select("graph_id", "a", "b")
+    for end in "ab":
+        own = own.join(inside.withColumnRenamed("node", end), ["graph_id", end], "left_semi")
+    own = written(own.select("graph_id", "a", "b"), "disc")
+    return own.join(lcc_nodes(own).withColumnRenamed("node", "a"), ["graph_id", "a"], "left_semi").select("graph_id", "a", "b")

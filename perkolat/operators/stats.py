@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,42 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*group).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 
+def beta_ratio(x: np.ndarray, a: np.ndarray, b: float, rounds: int = 100_000) -> np.ndarray:
+    """The regularised incomplete beta function I_x(a, b) by its continued fraction, in the half where that converges fast."""
+    flip = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    tiny, one = 1e-300, np.ones_like(x)
+    d = 1 / np.where((v := 1 - (a + b) * x / (a + 1)) == 0, tiny, v)
+    c, f = one, d
+    for m in range(1, rounds + 1):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / np.where((v := 1 + num * d) == 0, tiny, v)
+            c = np.where((v := 1 + num / c) == 0, tiny, v)
+            f = f * c * d
+        if np.all(np.abs(c * d - 1) < 1e-14):
+            break
+    else:
+        raise RuntimeError("the continued fraction does not converge")
+    log = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(log(a + b) - log(a) - log(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    out = np.where(x <= 0, 0.0, front * f)
+    return np.where(flip, 1 - out, out)
+
+
+def correlation_p(df: DataFrame, r: str, n: str = "n", name: str = "p") -> DataFrame:
+    """df with the two-sided p of each correlation by Student's t of n - 2 degrees of freedom; null for fewer than 3 points or no correlation.
+    df is one row a group, so the fraction is taken in Arrow batches of aggregates, not of data."""
+
+    @F.pandas_udf("double")
+    def of(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(beta_ratio(np.clip(1 - r.to_numpy() ** 2, 0, 1), (n.to_numpy() - 2) / 2, 0.5))
+
+    there = F.col(r).isNotNull() & (F.col(n) > 2)
+    safe = of(F.when(there, F.col(r)).otherwise(F.lit(0.0)), F.when(there, F.col(n)).otherwise(F.lit(3)).cast("double"))
+    return df.withColumn(name, F.when(there, safe))
+
+
 def kendall(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """Kendall's tau-b from counts of distinct (x, y): pairs are made of distinct points with their multiplicities."""
     h = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))

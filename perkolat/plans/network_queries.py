@@ -285,6 +285,11 @@ def bootstrap_pc_md5(t):
     return percolation.bootstrap_threshold(percolation.curves(t.near_edges(), 12, percolation.grid(0.05, 0.93, 0.02), 11), 12, 100, 5)
 
 
+@query()
+def fine_threshold_md5(t):
+    return percolation.fine_threshold(t.near_edges(), 11, (8, percolation.grid(0.05, 0.93, 0.02)))
+
+
 @query()
 def lcc_curve_l2(t):
     mean = lambda c: c.groupBy("graph_id", "p_idx").agg(F.avg("lcc").alias("lcc"))
@@ -393,6 +398,19 @@ def vertex_split_counts(t):
     return m.select("n", "m", n3.alias("degree3"), n4.alias("degree4"), "two_over_k")
 
 
+IN_DISC = "pow((x - 0.02) * 111320.0 * cos(radians(0.01)), 2) + pow((y - 0.01) * 111132.0, 2) <= 6000.0 * 6000.0"
+
+
+@query(f"""{COMPONENTS.replace('ee AS (SELECT a, b FROM e UNION', 'kp AS (SELECT node FROM p WHERE ' + IN_DISC + '), e5 AS (SELECT a, b FROM e WHERE a IN (FROM kp) AND b IN (FROM kp)), ee AS (SELECT a, b FROM e5 UNION').replace('SELECT b, a FROM e)', 'SELECT b, a FROM e5)')},
+z AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), l AS (SELECT node FROM cc JOIN z USING (component)), dg AS (SELECT a, count(*) AS d FROM ee WHERE a IN (FROM l) GROUP BY 1)
+SELECT 'emb' AS graph_id, count(*) AS n, (sum(d) / 2)::BIGINT AS m, {R('avg(d)')} AS mean_degree, {R('CASE WHEN avg(d * d) > avg(d) THEN avg(d) / (avg(d * d) - avg(d)) END')} AS pc_cebh, {R('2 / avg(d)')} AS dim_pc FROM dg HAVING count(*) > 0""")
+def disc_rewindow(t):
+    """The network cut anew to a disc about a centre, its largest component, and the baselines there."""
+    centre = t.spark.range(1).select(F.lit("emb").alias("graph_id"), F.lit(0.02).alias("lon"), F.lit(0.01).alias("lat"))
+    m = graph.moments(graph.degrees(spatial.disc(t.near_edges(), t.points(), centre, 6000.0)))
+    return m.select("graph_id", "n", "m", F.col("k1").alias("mean_degree"), F.col("cebh").alias("pc_cebh"), F.col("two_over_k").alias("dim_pc"))
+
+
 KEPT = "('0x' || substr(md5('8|' || a || '|' || b), 1, 8))::BIGINT % 100 < 80"
 
 

@@ -67,6 +67,12 @@ def pearson(t):
     return stats.pearson(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice")
 
 
+@query(f"""WITH {NETWORKS}, c AS (SELECT domain, count(*) AS n, corr(pc_obs, mean_degree) AS r FROM nets GROUP BY 1), th AS (SELECT c.*, asin(abs(r)) + (pi() / 2 - asin(abs(r))) * (i + 0.5) / 20000 AS t, pi() / 2 * (i + 0.5) / 20000 AS u FROM c, (SELECT unnest(range(20000)) AS i))
+SELECT domain, n, {R('r')} AS r, {R('CASE WHEN n > 2 THEN sum(pow(cos(t), n - 3)) * (pi() / 2 - asin(abs(r))) / (sum(pow(cos(u), n - 3)) * pi() / 2) END')} AS p FROM th GROUP BY domain, n, r""")
+def pearson_p(t):
+    return stats.correlation_p(stats.pearson(t.networks(), ["domain"], "pc_obs", "mean_degree"), "r")
+
+
 @query(f"SELECT o_orderpriority, count(*) AS n, {R('corr(rx, ry)')} AS rho FROM ({RANKS.format(g='o_orderpriority', x='o_totalprice', y='o_custkey', t='orders')}) GROUP BY 1")
 def spearman(t):
     return stats.spearman(t.orders, ["o_orderpriority"], "o_totalprice", "o_custkey")

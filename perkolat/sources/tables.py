@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from perkolat.functions.columns import finite
 from perkolat.operators.records import pending
 
@@ -60,3 +62,33 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
         df = pending(df, spark.read.schema(df.schema).parquet(path), keys)
     df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, places: int = 6, mode: str = "errorifexists") -> None:
+    """df as CSV files with headers in the folder at path: floating-point numbers to so many places, NaN and infinities as empty cells."""
+    cell = lambda f: F.round(finite(F.col(f.name)), places).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    df.select(*[cell(f) for f in df.schema]).write.mode(mode).csv(path, header=True, emptyValue="")
+
+
+def not_finite(c: Column, kind: T.DataType) -> Column | None:
+    """Whether a NaN or an infinity is anywhere in a value; None for types that cannot hold one."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return c.isNotNull() & finite(c).isNull()
+    if isinstance(kind, T.ArrayType):
+        return None if not_finite(c, kind.elementType) is None else F.coalesce(F.exists(c, lambda x: F.coalesce(not_finite(x, kind.elementType), F.lit(False))), F.lit(False))
+    if isinstance(kind, T.MapType):
+        return not_finite(F.map_values(c), T.ArrayType(kind.valueType))
+    found = None
+    for f in kind.fields if isinstance(kind, T.StructType) else []:
+        own = not_finite(c[f.name], f.dataType)
+        found = own if found is None else found if own is None else found | own
+    return found
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """df as JSON lines in the folder at path, nulls kept. A NaN or an infinity anywhere fails the job, as JSON has neither."""
+    out = []
+    for f in df.schema:
+        bad = not_finite(F.col(f.name), f.dataType)
+        out.append((F.col(f.name) if bad is None else F.when(bad, F.raise_error(F.lit(f"{f.name}: not finite")).cast(f.dataType)).otherwise(F.col(f.name))).alias(f.name))
+    df.select(*out).write.mode(mode).option("ignoreNullFields", False).json(path)
