@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perkolat.functions.columns import finite
+from perkolat.lineage import small, written
 
 
 def ranked(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -151,16 +152,34 @@ def length_bin_tvd(df: DataFrame, group: str, value: str, base: str, other: str,
     return n.select(F.abs(F.try_divide(F.col("a"), F.sum("a").over(every)) - F.try_divide(F.col("b"), F.sum("b").over(every))).alias("d")).agg((F.sum("d") / 2).alias("tvd"))
 
 
+#: Draws of a run, which is one row until they are made; values of a group in one array; most arrays that are broadcast.
+DRAWS, SLICE, MAX_ARRAYS = 50_000, 4096, 1000
+
+
+def draws(size: DataFrame, group: list[str], reps: int, seed: int) -> DataFrame:
+    """(group, rep, i): the places that each of `reps` resamples draws from the n places of each group of size(group, n), spread over tasks."""
+    runs = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(DRAWS).cast("long"))))
+    runs = written(runs, "boot-runs")
+    # By a round robin, as a hash would leave some tasks several runs; about forty runs a task once there are many.
+    runs = runs.repartition(max(size.sparkSession.sparkContext.defaultParallelism, runs.count() // 40))
+    made = runs.withColumn("j", F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + DRAWS, F.col("n")))))
+    hex_ = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *group, F.col("rep").cast("string"), F.col("j").cast("string"))), 1, 12)
+    return made.select(*group, "rep", (F.conv(hex_, 16, 10).cast("long") % F.col("n")).alias("i"))
+
+
 def bootstrap_mean(df: DataFrame, group: list[str], value: str, key: str, reps: int, seed: int) -> DataFrame:
     """Per group the mean and the 2.5 and 97.5 percentiles of the means of `reps` resamples. The j-th draw of a resample takes the
-    row at a place hashed from seed, group, resample and j, so that any engine draws the same rows."""
+    row at a place hashed from seed, group, resample and j, so that any engine draws the same rows.
+
+    Draws are dealt out in runs of DRAWS, made where they are summed, and find their value in arrays of SLICE values of the group, in the
+    order of the key: by a broadcast if there are few arrays, else by a join on the arrays' numbers."""
     w = Window.partitionBy(*group).orderBy(key)
-    own = df.where(F.col(value).isNotNull()).select(*group, value, (F.row_number().over(w) - 1).alias("i"))
-    size = own.groupBy(*group).agg(F.count("*").alias("n"))
-    hex_ = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *group, F.col("rep").cast("string"), F.col("j").cast("string"))), 1, 12)
-    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    draws = draws.select(*group, "rep", (F.conv(hex_, 16, 10).cast("long") % F.col("n")).alias("i"))
-    counts = draws.groupBy(*group, "rep", "i").agg(F.count("*").alias("k"))
-    means = counts.join(own, [*group, "i"]).groupBy(*group, "rep").agg((F.sum(F.col(value) * F.col("k")) / F.sum("k")).alias("mean"))
+    own = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"), (F.row_number().over(w) - 1).cast("long").alias("i"))
+    own = own.withColumn("part", F.floor(F.col("i") / SLICE))
+    arrays = written(own.groupBy(*group, "part").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("r")).select(*group, "part", F.col("r.v").alias("vs")), "boot-values")
+    size = arrays.groupBy(*group).agg(F.sum(F.size("vs")).alias("n"))
+    made = draws(size, group, reps, seed).withColumn("part", F.floor(F.col("i") / SLICE))
+    drawn = made.join(small(arrays, MAX_ARRAYS), [*group, "part"]).select(*group, "rep", F.get("vs", (F.col("i") % SLICE).cast("int")).alias("v"))
+    means = drawn.groupBy(*group, "rep").agg(F.avg("v").alias("mean"))
     out = means.groupBy(*group).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))
-    return own.groupBy(*group).agg(F.avg(value).alias("mean")).join(out, group)
+    return own.groupBy(*group).agg(F.avg("v").alias("mean")).join(out, group)

@@ -2,7 +2,10 @@
 
 import duckdb
 
+import pytest
+
 import __spark_entry__ as entry
+from perkolat.operators import stats
 
 
 def against_sql(spark, name, folder, **tables):
@@ -20,3 +23,18 @@ def test_path_pairs_beyond_the_limit_have_no_row(spark, tmp_path):
     line = spark.range(150).selectExpr("id AS vec_id", "array(float(id), float(0)) AS embedding")
     got, want = against_sql(spark, "path_pairs", tmp_path, embeddings=line)
     assert got == want and 0 < len(got) < 29 and max(r[3] for r in got) <= 60
+
+
+def test_draws_are_made_in_many_tasks(spark):
+    made = stats.draws(spark.createDataFrame([("a", 30_000), ("b", 1)], "g string, n long"), ["g"], 8, 9)
+    each = made.groupBy("g", "rep").count().toPandas()
+    assert made.rdd.getNumPartitions() >= 4 and set(map(tuple, each[["g", "count"]].to_numpy())) == {("a", 30_000), ("b", 1)} and len(each) == 16
+
+
+@pytest.mark.parametrize("arrays", [0, 1000], ids=["joined", "broadcast"])
+def test_bootstrap_over_runs_and_arrays_equals_its_sql(spark, tmp_path, monkeypatch, arrays):
+    for name, n in (("DRAWS", 7), ("SLICE", 4), ("MAX_ARRAYS", arrays)):
+        monkeypatch.setattr(stats, name, n)
+    rows = spark.range(45).selectExpr("id AS c_custkey", "cast(id % 7 * 1.5 AS double) AS c_acctbal", "if(id < 40, 'long', 'short') AS c_mktsegment")
+    got, want = against_sql(spark, "bootstrap_mean_ci", tmp_path, customer=rows)
+    assert got == want and len(got) == 2
