@@ -1,11 +1,11 @@
 """Shapes that only larger tables have: long paths, many draws, large blocks, long chords."""
 
 import duckdb
-
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from perkolat.operators import stats
+from perkolat.operators import kernels, stats
 
 
 def against_sql(spark, name, folder, **tables):
@@ -38,3 +38,39 @@ def test_bootstrap_over_runs_and_arrays_equals_its_sql(spark, tmp_path, monkeypa
     rows = spark.range(45).selectExpr("id AS c_custkey", "cast(id % 7 * 1.5 AS double) AS c_acctbal", "if(id < 40, 'long', 'short') AS c_mktsegment")
     got, want = against_sql(spark, "bootstrap_mean_ci", tmp_path, customer=rows)
     assert got == want and len(got) == 2
+
+
+def chords(n, seed):
+    """Points, and short and long chords between them, some upright, some flat, some on lines of the grid."""
+    rng = np.random.default_rng(seed)
+    xy = np.concatenate([rng.random((n, 2)) * 10 - 5, rng.integers(-5, 6, (n, 2))])
+    near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2).argsort(axis=1)[:, 1:3]
+    short = {(min(i, int(j)), max(i, int(j))) for i in range(2 * n) for j in near[i]}
+    far = {tuple(sorted(e)) for e in rng.integers(0, 2 * n, (n, 2)).tolist() if e[0] != e[1]}
+    return xy, sorted(short | far)
+
+
+def test_a_long_chord_covers_the_cells_along_it_alone():
+    xy = np.array([*[(i, i % 2) for i in range(201)], (0.3, 200.7)], float)
+    grid = kernels.ChordGrid(xy, [(i, i + 1) for i in range(200)])
+    assert len(list(grid.cover((200, 201)))) < 4 * 200 / grid.cell < (200 / grid.cell) ** 2
+
+
+@pytest.mark.parametrize("test", [kernels.crosses, kernels.meets])
+def test_chords_met_along_cells_are_those_of_all_pairs(test):
+    xy, edges = chords(60, 4)
+    grid, skip = kernels.ChordGrid(xy, edges), edges[3:5]
+    for e in edges:
+        want = sum(test(xy, e, f) for f in edges if not {*e} & {*f} and f not in skip)
+        assert grid.crossed(e, test=test, skip=skip) == want and grid.crossed(e, 2, test, skip) == min(2, want)
+
+
+def test_partners_are_drawn_among_the_nearest_also_after_moves():
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.normal(size=(400, 2)), rng.normal(size=(30, 2)) * 40])
+    own = kernels.Nearest(p.copy(), 25, 400.0)
+    for k in range(60):
+        own.move(int(rng.integers(len(p))), rng.normal(size=2) * 60)
+        i, rank = int(rng.integers(len(p))), int(rng.integers(25))
+        far = ((own.points - own.points[i]) ** 2).sum(axis=1)
+        assert far[own.of(i, rank)] == np.sort(far)[rank]
