@@ -37,8 +37,9 @@ class Chain:
     def index(self) -> None:
         self.place = {e: i for i, e in enumerate(self.edges)}
 
-    def swap(self, i: int, j: int, fits) -> float | None:
-        """Swap edges i and j if fits(crossings of either new chord); the change in crossings, else None."""
+    def swap(self, i: int, j: int, fits, cap: int) -> float | None:
+        """Swap edges i and j if fits(crossings of either new chord), which may be told as `cap` or more where there are so many; the change
+        in crossings, as far as these were counted, else None."""
         old = (self.edges[i], self.edges[j])
         (a, b), (c, d) = old
         if len({a, b, c, d}) < 4:
@@ -46,15 +47,13 @@ class Chain:
         new = [tuple(sorted(e)) for e in (((a, c), (b, d)) if self.rng.random() < 0.5 else ((a, d), (b, c)))]
         if new[0] in self.have or new[1] in self.have:
             return None
-        for e in old:
-            self.grid.drop(e)
-        n = [self.grid.crossed(e) for e in new]
-        both = crosses(self.xy, *new)
+        n = [self.grid.crossed(e, cap, skip=old) for e in new]
+        both = crosses(self.grid.xy, *new)
         if not fits(n[0] + both, n[1] + both):
-            for e in old:
-                self.grid.put(e)
             return None
-        gone = sum(self.grid.crossed(e) for e in old) + crosses(self.xy, *old)
+        for e in old:
+            self.grid.drop(e)
+        gone = sum(self.grid.crossed(e) for e in old) + crosses(self.grid.xy, *old)
         for e in new:
             self.grid.put(e)
         self.have -= set(old)
@@ -84,7 +83,7 @@ def matched(pdf: pd.DataFrame, arm: str, fractions: list[float], seed: int, trie
             left -= 1
             i, j = chain.rng.integers(0, m, 2).tolist()
             if i != j:
-                chain.swap(i, j, ARMS[arm])
+                chain.swap(i, j, ARMS[arm], 1)
         out.append(chain.table(stage=f))
     return out
 
@@ -103,7 +102,7 @@ def targeted(pdf: pd.DataFrame, increments: list[float], seed: int, tries: int =
             i = int(chain.rng.integers(m))
             j = int(chain.rng.integers(m)) if left % 8 == 0 else chain.neighbour(i)
             if i != j:
-                added += chain.swap(i, j, lambda n1, n2: 1 <= n1 <= most and 1 <= n2 <= most) or 0
+                added += chain.swap(i, j, lambda n1, n2: 1 <= n1 <= most and 1 <= n2 <= most, most + 1) or 0
         out.append(chain.table(stage=inc))
         if left == 0:
             break

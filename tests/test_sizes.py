@@ -2,10 +2,11 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from perkolat.operators import kernels, stats
+from perkolat.operators import dials, kernels, stats
 
 
 def against_sql(spark, name, folder, **tables):
@@ -65,6 +66,19 @@ def test_chords_met_along_cells_are_those_of_all_pairs(test):
         assert grid.crossed(e, test=test, skip=skip) == want and grid.crossed(e, 2, test, skip) == min(2, want)
 
 
+def test_the_matched_dial_looks_no_further_than_the_first_crossing(monkeypatch):
+    xy, edges = chords(150, 5)
+    pdf, calls, real = pd.DataFrame([(a, b, *xy[a], *xy[b]) for a, b in edges], columns=["a", "b", "ax", "ay", "bx", "by"]), [0], kernels.crosses
+
+    def counted(*args):
+        calls[0] += 1
+        return real(*args)
+
+    monkeypatch.setattr(kernels, "crosses", counted)
+    dials.matched(pdf, "noncross", [0.02], 5)
+    assert calls[0] < 40 * 400 * round(0.02 * len(edges))  # forty for each try at most; all chords of the box were met before
+
+
 def test_partners_are_drawn_among_the_nearest_also_after_moves():
     rng = np.random.default_rng(6)
     p = np.concatenate([rng.normal(size=(400, 2)), rng.normal(size=(30, 2)) * 40])
