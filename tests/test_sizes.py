@@ -1,12 +1,16 @@
 """Shapes that only larger tables have: long paths, many draws, large blocks, long chords."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from perkolat.operators import dials, kernels, stats
+from perkolat.operators import dials, kernels, matching, stats
 
 
 def against_sql(spark, name, folder, **tables):
@@ -88,3 +92,50 @@ def test_partners_are_drawn_among_the_nearest_also_after_moves():
         i, rank = int(rng.integers(len(p))), int(rng.integers(25))
         far = ((own.points - own.points[i]) ** 2).sum(axis=1)
         assert far[own.of(i, rank)] == np.sort(far)[rank]
+
+
+def places_and_centres():
+    """Names of a small alphabet, alike, empty, null and long, at places near and far, unknown, and the same."""
+    rng = random.Random(7)
+    name = lambda: rng.choice([None, "", "ab" * 140, "é" * 70 + "x"]) if rng.random() < 0.1 else "".join(rng.choice("abc 12") for _ in range(rng.randrange(1, 14)))
+    at = lambda: rng.choice([None, float("nan")]) if rng.random() < 0.1 else rng.choice([0.0, 0.5, 1.5, 60.0]) + rng.choice([0.0, 0.01])
+    row = lambda i: (i, rng.choice(["x", "x", "y", None]), name(), at(), at())
+    return [row(i // 2) for i in range(120)] + [(900, "z", "alone", 0.0, 0.0)], [row(i // 2) for i in range(90)] + [(None, "x", "abc", 0.0, 0.0)]
+
+
+def every_pair(places, centres):
+    """The match that compares all pairs of a block."""
+    km = matching.great_circle_m(*map(F.col, ("p_lon", "p_lat", "c_lon", "c_lat"))) / 1000
+    p = places.selectExpr("id", "block", "name AS p_name", "lon AS p_lon", "lat AS p_lat").withColumn("p_name", matching.normalised_name(F.col("p_name")))
+    c = centres.selectExpr("centre", "block", "name AS c_name", "lon AS c_lon", "lat AS c_lat").withColumn("c_name", matching.normalised_name(F.col("c_name")))
+    met = p.join(c, "block").withColumn("s", matching.ratio(F.col("p_name"), F.col("c_name"))).withColumn("km", km)
+    score = F.round(F.col("s") - F.least("km", F.lit(300.0)) / 1000, 12)
+    best = met.groupBy("id").agg(F.max(F.struct(score.alias("score"), (-F.col("centre")).alias("minus"), "s", "km")).alias("m"))
+    return {r["id"]: (r["centre"], r["s"], r["score"]) for r in best.selectExpr("id", "-m.minus AS centre", "m.s AS s", "m.score AS score").collect()}
+
+
+@pytest.mark.parametrize("size", [5, 4096])
+def test_name_match_equals_that_of_all_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(matching, "PLACES", size)
+    monkeypatch.setattr(matching, "CENTRES", size)
+    a, b = places_and_centres()
+    p, c = (spark.createDataFrame(rows, f"{k} long, block string, name string, lon double, lat double") for rows, k in ((a, "id"), (b, "centre")))
+    got = {r["id"]: (r["centre"], r["similarity"], r["score"]) for r in matching.blocked_name_match(p, c).collect()}
+    want = every_pair(p, c)
+    assert {k: v for k, v in got.items() if k in want} == want and all(v == (None, None, None) for k, v in got.items() if k not in want)
+
+
+def test_few_names_are_compared(monkeypatch):
+    rng = random.Random(8)
+    names = [f"supplier#{rng.randrange(10**9):09d}" for _ in range(800)]
+    own = matching.Centres(names, np.zeros(800), np.linspace(0, 70, 800), list(range(800)))
+    calls, real = [0], SequenceMatcher.ratio
+
+    def counted(self):
+        calls[0] += 1
+        return real(self)
+
+    monkeypatch.setattr(SequenceMatcher, "ratio", counted)
+    for k in range(20):
+        own.best(f"customer#{rng.randrange(10**9):09d}", 0.0, 3.5 * k)
+    assert calls[0] < 20 * 800 / 4
