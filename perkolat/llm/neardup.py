@@ -11,6 +11,7 @@ yet in one component and whose 256-bit parity signatures allow it are held again
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -184,10 +185,14 @@ def opened(met: DataFrame, cc: DataFrame) -> DataFrame:
     return out
 
 
-def linked(own: DataFrame, shingle: int) -> DataFrame:
-    """(node, component) of every class of own(cid, text), sets distinct, that is similar to another."""
-    met = meeting(own, shingle)
-    left, cc = met.withColumn("comp", F.col("cid")), None
+def linked(own: DataFrame, shingle: int, first: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every class of own(cid, text), sets distinct, that is similar to another. first(a, b), written: pairs found by
+    other means, of which the similar ones are joined before any shingles meet."""
+    met, cc = meeting(own, shingle), None
+    left = met.withColumn("comp", F.col("cid"))
+    if first is not None:
+        cc = joined(verified(first, own, shingle))
+        left = opened(met, cc)
     for k in range(LEADERS):
         # One leader for each shingle, another in each round: first the least class, then by hash. Each class tries the one it shares most with.
         first = F.col("cid") if k == 0 else F.xxhash64(F.lit(k), "cid")
@@ -197,7 +202,7 @@ def linked(own: DataFrame, shingle: int) -> DataFrame:
         best = pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
         links = verified(freed(best, "near-best"), own, shingle)
         cc = joined(links) if cc is None else contracted(cc, links)
-        left = opened(left if k else met, cc)
+        left = opened(left, cc)
     sig = small(freed(signatures(own.join(small(freed(left.select("cid").distinct(), "near-ids"), MAX_BROADCAST), "cid", "left_semi"), shingle), "near-sigs"), MAX_BROADCAST)
     left = freed(left.join(sig, "cid"), "near-open")
     x, y = left.alias("x"), left.alias("y")
@@ -210,13 +215,14 @@ def linked(own: DataFrame, shingle: int) -> DataFrame:
     return contracted(cc, more) if more.limit(1).count() else cc
 
 
-def later_rows(rows: DataFrame, shingle: int) -> DataFrame:
-    """(rid): the rows that are not the first of their group. rows(rid, id, tie, key, text), written; by id, nulls last, then tie and rid."""
+def later_rows(rows: DataFrame, shingle: int, finder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(rid): the rows that are not the first of their group. rows(rid, id, tie, key, text), written; by id, nulls last, then tie and rid.
+    finder gives pairs(a, b) of likely classes of own(cid, text), which are tried first."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "tie", "rid").alias("place")
     keyed = rows.select("rid", order, "key")
     firsts = freed(keyed.groupBy("key").agg(F.min("rid").alias("cid")), "near-firsts")
     classed = freed(keyed.join(small(firsts, MAX_BROADCAST), "key").select("rid", "place", "cid"), "near-classes")
     own = rows.join(small(written(classed.where("rid <> cid").select("rid"), "near-copies"), MAX_BROADCAST), "rid", "left_anti").select(F.col("rid").alias("cid"), "text")
-    grouped = told(classed, linked(own, shingle), "cid", "g").select("rid", "place", "g")
+    grouped = told(classed, linked(own, shingle, finder and finder(own)), "cid", "g").select("rid", "place", "g")
     best = grouped.groupBy("g").agg(F.min("place").alias("p"), F.count("*").alias("n")).where("n > 1").select("g", F.col("p.rid").alias("best"))
     return freed(grouped.join(small(freed(best, "near-best"), MAX_BROADCAST), "g").where("rid <> best").select("rid"), "near-later")

@@ -254,16 +254,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(small(written(grouped(own, distance), "sim-groups"), 500_000), "fp").select("doc_id", "fp", "component_id")
 
 
+def alike(own: DataFrame, shingle: int, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of own(cid, text) by which all whose fingerprints are linked hang together, written: within `distance` bits a forest of
+    the fingerprints' links, and of equal fingerprints the least cid with each other one."""
+    rows = written(own.select("cid", simhash(F.col("text"), shingle).alias("fp")), "sim-own")
+    fps = written(rows.groupBy("fp").agg(F.min("cid").alias("rep")), "sim-fps")
+    same = rows.join(small(fps, 500_000), "fp").where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b"))
+    near = links(fps, distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(near.unionByName(same).distinct(), "sim-alike")
+
+
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without its near-duplicates: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Rows are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, found and verified exactly:
-    64 bits of SimHash cannot tell 0.8 from 0.7. Rows are told apart by a written number, not by doc_id; a null id is last."""
+    SimHash finds the links, by fingerprints within DISTANCE bits; an exact check follows: of those links the ones stay whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, and pairs of that similarity whose fingerprints lie further apart, as 64
+    bits cannot tell 0.8 from 0.7, are added by a prefix join. Rows are told apart by a written number, not by doc_id; a null id is last."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc"))
     text = text_of(F.col("doc.text"))
     rows = rows.select("rid", "doc", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc").alias("tie"), neardup.identity(text, shingle).alias("key"))
     rows = written(rows, "near-rows")
-    gone = neardup.later_rows(rows.select("rid", "id", "tie", "key", text.alias("text")), shingle)
+    gone = neardup.later_rows(rows.select("rid", "id", "tie", "key", text.alias("text")), shingle, lambda own: alike(own, shingle))
     return rows.select("rid", "doc").join(small(gone, neardup.MAX_BROADCAST), "rid", "left_anti").select("doc.*")
 
 
