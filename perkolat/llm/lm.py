@@ -6,8 +6,9 @@ normalised exactly by two small batched matrix products: first one of the classe
 of the groups of all other words by their first two bytes, or the end; then the word of the class. A word of a group has its share of
 the group by add-one counts over the whole training corpus, with one share for words not seen.
 
-Counts of all training words give the biases, the classes, the groups' shares and the base. Vectors are trained in minibatches on windows
-that Spark draws by hash from all training documents.
+Counts of all training words give the biases, the classes, the groups' shares and the base. Vectors start from minibatches on windows
+that Spark draws by hash from all training documents, and then learn from every window of every training document: each task goes over
+its own, and the changes are averaged.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,11 @@ FOLDS, HELD_OUT = 7, 2
 TOP, CLASSES, GROUPS, WINDOW = 8192, 128, 64, 4
 #: Most words whose counts every worker holds; counts of the others are joined.
 HEAD = 250_000
-#: Training: noise words for each token, minibatches of windows, from about DOCS documents. Windows are drawn so that, in the mean, each is
+#: The start: noise words for each token, minibatches of windows, from about DOCS documents. Windows are drawn so that, in the mean, each is
 #: used once; of a smaller corpus all are taken.
 DIM, NOISE, STEPS, BATCH, RATE, SEED, DOCS = 32, 16, 500, 4096, 0.1, 7, 40_000
+#: The pass over all windows: noise words for each token, the rate, and numbers of the model in a row of its changes.
+WHOLE_NOISE, WHOLE_RATE, PIECE = 4, 0.05, 8192
 #: Documents and tokens that a worker holds at once.
 SLICE, CHUNK = 256, 16_384
 FLUSH = 300_000
@@ -196,42 +200,44 @@ def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(t: Tables, context: np.ndarray, target: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> dict[str, np.ndarray]:
-    """The vectors and biases of a log-bilinear model, by noise-contrastive estimation with Adagrad on minibatches.
+class Trainer:
+    """The vectors and biases of a log-bilinear model under noise-contrastive estimation with Adagrad on minibatches.
 
     The noise of the first step is the outcomes' own distribution over the corpus, `noise` times for each token, taken in expectation;
     that of the second is `noise` words of the target's class, drawn by their counts."""
-    rng, f = np.random.default_rng(seed), np.float32
-    first = np.zeros(t.classes + t.n_groups + 1)
-    np.add.at(first, t.outcome[: t.top], t.counts[: t.top])
-    first[t.classes : t.classes + t.n_groups] = t.groups
-    first[-1] = t.docs
-    first = (first + 0.5) / (first + 0.5).sum()
-    word = t.counts[: t.top] + 1.0
-    for c in range(t.classes):
-        own = slice(t.first[c], t.first[c + 1])
-        word[own] /= word[own].sum()
-    upto = np.cumsum(word)  # over the classes in a row: class c has the numbers from c to c + 1
-    p = {
-        "R": rng.normal(0, 0.1, (t.top + t.n_groups + 1, dim)), "C": np.linspace(1.0, 0.5, WINDOW)[:, None] * np.ones(dim), "Q": rng.normal(0, 0.1, (len(first), dim)), "b": np.log(first),
-        "W": rng.normal(0, 0.1, (t.top, dim)), "d": np.log(word),
-    }
-    p = {k: x.astype(f) for k, x in p.items()}
-    v = {k: np.full_like(x, 1.0) for k, x in p.items()}
-    log_first, log_word = np.log(noise * first).astype(f), np.log(noise * word).astype(f)
-    order = np.empty(0, int)
-    for step in range(1, steps + 1 if len(target) else 1):
-        if len(order) < min(BATCH, len(target)):
-            order = rng.permutation(len(target))
-        own, order = order[:BATCH], order[BATCH:]
-        ctx, tg, n = context[own], target[own], len(own)
+
+    def __init__(self, t: Tables, dim: int, noise: int, rng: np.random.Generator, p: dict | None = None, v: dict | None = None):
+        f, self.t, self.noise, self.rng = np.float32, t, noise, rng
+        first = np.zeros(t.classes + t.n_groups + 1)
+        np.add.at(first, t.outcome[: t.top], t.counts[: t.top])
+        first[t.classes : t.classes + t.n_groups] = t.groups
+        first[-1] = t.docs
+        first = (first + 0.5) / (first + 0.5).sum()
+        word = t.counts[: t.top] + 1.0
+        for c in range(t.classes):
+            own = slice(t.first[c], t.first[c + 1])
+            word[own] /= word[own].sum()
+        self.upto = np.cumsum(word)  # over the classes in a row: class c has the numbers from c to c + 1
+        if p is None:
+            p = {
+                "R": rng.normal(0, 0.1, (t.top + t.n_groups + 1, dim)), "C": np.linspace(1.0, 0.5, WINDOW)[:, None] * np.ones(dim), "Q": rng.normal(0, 0.1, (len(first), dim)), "b": np.log(first),
+                "W": rng.normal(0, 0.1, (t.top, dim)), "d": np.log(word),
+            }
+        self.p = {k: x.astype(f) for k, x in p.items()}  # copies
+        self.v = {k: np.full_like(x, 1.0) for k, x in self.p.items()} if v is None else {k: x.copy() for k, x in v.items()}
+        self.share = noise * first.astype(f)
+        self.log_first, self.log_word = np.log(noise * first).astype(f), np.log(noise * word).astype(f)
+
+    def step(self, ctx: np.ndarray, tg: np.ndarray, lr: float) -> None:
+        """One minibatch: the WINDOW symbols before each target, nearest first, and the targets."""
+        t, p, f, n, dim = self.t, self.p, np.float32, len(tg), self.p["R"].shape[1]
         r = p["R"][ctx]
         h = (r * p["C"]).sum(axis=1)
         # First step: all outcomes as noise, weighted by their share.
         one = t.outcome[tg]
-        s = sigmoid(h @ p["Q"].T + p["b"] - log_first)
+        s = sigmoid(h @ p["Q"].T + p["b"] - self.log_first)
         hit = s[np.arange(n), one]
-        g = s * (noise * first.astype(f))
+        g = s * self.share
         g[np.arange(n), one] -= 1 - hit
         gh = g @ p["Q"]
         grad = {"Q": g.T @ h, "b": g.sum(axis=0)}
@@ -239,25 +245,78 @@ def train(t: Tables, context: np.ndarray, target: np.ndarray, dim: int = DIM, no
         w = np.flatnonzero(tg < t.top)
         if len(w):
             k = one[w]
-            u = np.minimum(np.searchsorted(upto, k[:, None] + rng.random((len(w), noise))), t.first[k + 1][:, None] - 1)
+            u = np.minimum(np.searchsorted(self.upto, k[:, None] + self.rng.random((len(w), self.noise))), t.first[k + 1][:, None] - 1)
             u = np.maximum(u, t.first[k][:, None])
             every = np.concatenate([tg[w][:, None], u], axis=1)
             vec = p["W"][every]
-            s2 = sigmoid(np.einsum("nkd,nd->nk", vec, h[w]) + p["d"][every] - log_word[every])
+            s2 = sigmoid(np.einsum("nkd,nd->nk", vec, h[w]) + p["d"][every] - self.log_word[every])
             s2[:, 0] -= 1
             gh[w] += np.einsum("nk,nkd->nd", s2, vec)
             grad["W"] = summed(every.ravel(), (s2[:, :, None] * h[w][:, None, :]).reshape(-1, dim), t.top)
             grad["d"] = np.bincount(every.ravel(), s2.ravel(), t.top)
         grad["C"] = (gh[:, None, :] * r).sum(axis=0)
         grad["R"] = summed(ctx.ravel(), (gh[:, None, :] * p["C"]).reshape(-1, dim), len(p["R"]))
-        lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for key, x in grad.items():
             x = x.astype(f)
-            v[key] += x * x  # by element, over all steps: rare words keep their rate
-            p[key] -= f(lr) * x / np.sqrt(v[key])
+            self.v[key] += x * x  # by element, over all steps: rare words keep their rate
+            p[key] -= f(lr) * x / np.sqrt(self.v[key])
+
+
+def fitted(t: Tables, context: np.ndarray, target: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> Trainer:
+    """A trainer after so many minibatches of the windows given, at a rate that falls to nothing over the later half."""
+    rng = np.random.default_rng(seed)
+    own = Trainer(t, dim, noise, rng)
+    order = np.empty(0, int)
+    for step in range(1, steps + 1 if len(target) else 1):
+        if len(order) < min(BATCH, len(target)):
+            order = rng.permutation(len(target))
+        some, order = order[:BATCH], order[BATCH:]
+        own.step(context[some], target[some], rate * min(1.0, 2 * (1 - step / (steps + 1))))
+    return own
+
+
+def learnt(training: DataFrame, shared, dim: int = DIM, seed: int = SEED) -> dict[str, np.ndarray]:
+    """The model after every window of every training document: from the start that shared(tables, its model, Adagrad's sums) holds, each
+    task goes over its rows once, and the tasks' changes are averaged by their windows. A document counts in full, however long; the
+    result depends on how the input is cut into partitions, but not on which task ends first."""
+
+    def work(batches):
+        t, p, v = shared.value
+        t.index()
+        own, n = Trainer(t, dim, WHOLE_NOISE, np.random.default_rng(seed), p, v), 0
+        for batch in batches:
+            raw = batch["text"].cast(pa.binary())
+            for at in range(0, len(raw), SLICE):
+                sym, _, _ = t.symbols([tokens(x) for x in raw[at : at + SLICE].to_pylist()])
+                here, ctx = t.windows(sym)
+                target = sym[here]
+                order = own.rng.permutation(len(here))
+                for some in np.array_split(order, -(-len(order) // BATCH)):
+                    own.step(ctx[some], target[some], WHOLE_RATE)
+                n += len(here)
+        if n:
+            rows = [(k, i, n, flat[i : i + PIECE].tobytes()) for k in sorted(p) for flat in [(own.p[k] - p[k]).ravel()] for i in range(0, len(flat), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["name", "at", "n", "change"])
+
+    def averaged(key, pdf):
+        pdf = pdf.sort_values(["n", "change"])
+        total = sum((n * np.frombuffer(x, np.float32).astype(float) for n, x in zip(pdf["n"], pdf["change"])), 0.0)
+        return pd.DataFrame([{"name": key[0], "at": key[1], "change": (total / pdf["n"].sum()).astype(np.float32).tobytes()}])
+
+    made = written(training.select("text").mapInArrow(work, "name string, at long, n long, change binary"), "lm-changes")
+    p = {k: x.copy() for k, x in shared.value[1].items()}
+    for r in made.groupBy("name", "at").applyInPandas(averaged, "name string, at long, change binary").collect():
+        x = np.frombuffer(r["change"], np.float32)
+        p[r["name"]].reshape(-1)[r["at"] : r["at"] + len(x)] += x
     return p
 
 
+def train(t: Tables, context: np.ndarray, target: np.ndarray, training: DataFrame | None = None, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> dict[str, np.ndarray]:
+    """The vectors and biases after the windows given, and then after all windows of training(text)."""
+    start = fitted(t, context, target, dim, noise, steps, rate, seed)
+    return start.p if training is None else learnt(training, training.sparkSession.sparkContext.broadcast((t, start.p, start.v)), dim, seed)
+
+
 def tables_of(vocabulary: DataFrame, train_docs: int, head: int = HEAD) -> Tables:
     """From (word, c): the head is all words with at least the least count of which no more than `head` have as many."""
     step = F.floor(F.log2("c") * 16).cast("int")
@@ -295,7 +354,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     t = tables_of(vocabulary, n_docs)
     windows = drawn(training, spark.sparkContext.broadcast(t), n_docs, t.n)
     t.index()
-    t = replace(t, model=train(t, *windows))
+    t = replace(t, model=train(t, *windows, training))
     shared = spark.sparkContext.broadcast(t)
 
     def work(batches):
