@@ -5,7 +5,7 @@ the texts. Two sets of the wanted similarity share one of their first n - ceil(0
 here by hash, shingles that many prefixes hold last. Pairs that meet pass the length filter, the positional filter and a count of the
 prefix shingles that they share; the rest is verified on the whole sets. In some rounds each class is held against the likeliest of the
 leaders of its shingles, others in each round, which joins groups of copies by a row each; then all pairs that meet, are not
-yet in one component and whose 256-bit parity signatures allow it are held against each other, so that no link between components is missed.
+yet in one component and whose 1024-bit parity signatures allow it are held against each other, so that no link between components is missed.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ NUM, DEN = 4, 5
 #: passes; this changes the work, not the links.
 HOT, DRAWN, HOT_MAX, ROUNDS = 32, 8, 500_000, 3
 #: Most rows that are broadcast; more are shuffled. Rounds of one pair a class before all pairs meet. Words of 64 bits of a signature.
-MAX_BROADCAST, LEADERS, SIG = 300_000, 6, 4
+MAX_BROADCAST, LEADERS, SIG = 300_000, 6, 16
 
 
 def codes_of(words: list[bytes], shingle: int) -> np.ndarray:
@@ -163,7 +163,7 @@ def contracted(cc: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def signatures(own: DataFrame, shingle: int) -> DataFrame:
-    """(cid, s0 to s3): the parity of a set's shingles by 256 classes of their hash; a shingle in one of two sets only can flip one bit."""
+    """(cid, s0 to s15): the parity of a set's shingles by 1024 classes of their hash; a shingle in one of two sets only can flip one bit."""
 
     def work(batches):
         for batch in batches:

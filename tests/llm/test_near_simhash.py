@@ -30,3 +30,18 @@ def test_equal_fingerprints_of_other_texts_are_not_near_duplicates(spark, monkey
     assert {tuple(r) for r in pairs.collect()} <= {(1, 2), (1, 3)}
     rows = [(1, "a b c d e f g", "en"), (2, "h i j k l m n", "en")]
     assert simhash.keep_first(spark.createDataFrame(rows, DOC)).count() == 2
+
+
+def test_long_unlike_texts_with_a_common_passage_are_told_apart_before_the_join(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{rng.randrange(4000)}" for _ in range(300)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(9000)}" for _ in range(1100)])) for i in range(12)]
+    met, real = [], neardup.counted
+
+    def rows_of(pairs):
+        met.append(pairs.count())
+        return real(pairs)
+
+    monkeypatch.setattr(neardup, "counted", rows_of)
+    neardup.linked(neardup.written(spark.createDataFrame(rows, "cid long, text string"), "t"), 5)
+    assert len(met) == neardup.LEADERS + 1 and met[0] > 0 and met[-1] == 0
