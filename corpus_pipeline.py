@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from perkolat.llm import decontaminate, mixing, quality, sharding, simhash
-from perkolat.llm.common import table, written
+from perkolat.llm.common import swept, table, written
 
 SHARDS = 16
 
@@ -19,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the least doc_id, null last; rows that repeat are one group, as are all texts without
     words. Very long texts are compared whole; an empty table stays empty."""
+    swept(spark)
     return simhash.keep_first(docs)
 
 
@@ -35,6 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row, repeated ones and null ids included; an empty table gives no rows."""
+    swept(spark)
     return sharding.shard(docs, SHARDS)
 
 

@@ -1,13 +1,13 @@
-"""Shared helpers: reading tables, word expressions, literal rows."""
+"""Shared helpers: reading tables, word expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkolat.lineage import dropped, fresh_path, shared_dir, small, written
+from perkolat.lineage import dropped, fresh_path, shared_dir, small, swept, written
 
-__all__ = ["dropped", "freed", "fresh_path", "local_rows", "shared_dir", "small", "table", "text_of", "words", "written"]
+__all__ = ["dropped", "freed", "fresh_path", "shared_dir", "small", "swept", "table", "text_of", "words", "written"]
 
 #: Fixed by the contracts: a word is a run without these six ASCII white-space characters.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -37,11 +37,3 @@ def freed(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RE), "")
-
-
-def local_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """A few rows as literals of the plan: unlike createDataFrame, no Python worker reads them. columns: "name type, ..."."""
-    parts = [c.split() for c in columns.split(",")]
-    made = [F.struct(*[F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(row, parts)]) for row in rows]
-    kind = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in parts) + ">>"
-    return spark.range(1).select(F.inline((F.array(*made) if made else F.array()).cast(kind)))

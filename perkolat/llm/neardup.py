@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from perkolat.operators.components import components
 
-from .common import dropped, freed, small, written
+from .common import dropped, freed, small, swept, written
 
 #: Least Jaccard similarity as a fraction of integers.
 NUM, DEN = 4, 5
@@ -194,6 +194,7 @@ def linked(own: DataFrame, shingle: int, first: DataFrame | None = None) -> Data
         cc = joined(verified(first, own, shingle))
         left = opened(met, cc)
     for k in range(LEADERS):
+        swept(own.sparkSession)
         # One leader for each shingle, another in each round: first the least class, then by hash. Each class tries the one it shares most with.
         first = F.col("cid") if k == 0 else F.xxhash64(F.lit(k), "cid")
         lead = left.groupBy("token").agg(F.min(F.struct(first.alias("f"), "cid", "n", "pos", "comp")).alias("l")).select("token", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("cid", "n", "pos", "comp")])

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import local_rows, small, table, text_of, written
+from .common import dropped, small, table, text_of, written
 
 SHARDS, BINS, ROUNDS, SLOT_BUCKETS = 16, 4096, 4, 256
 #: Most values of a dimension whose weights are broadcast; more are shuffled.
@@ -54,50 +54,71 @@ def points(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return written(own.select("rid", "doc_id", "size", "text_crc32", *[coordinate(v, h).alias(f"x{i}") for i, v in enumerate(dims)]), "shard-points")
 
 
-def split_once(pts: DataFrame, open_nodes: list[int], spread: list[float], left_share: dict[int, float]) -> list[tuple[int, int, int]]:
+def of_node(values: dict[int, int | float], leaves: int, kind: str) -> Column:
+    """The value of a row's `node`, -1 for nodes without one. The values are one constant of the plan and not part of its code, so that the
+    rounds of a tree are compiled once, and no join is needed."""
+    return F.split(F.lit(",".join(str(values.get(n, -1)) for n in range(leaves))), ",").cast(f"array<{kind}>")[F.col("node").cast("int")]
+
+
+def along(dims: range | list[int]) -> Column:
+    """The coordinate in dimension `d`."""
+    return F.coalesce(*[F.when(F.col("d") == i, F.col(f"x{i}")) for i in dims])
+
+
+def split_once(pts: DataFrame, open_nodes: list[int], spread: list[float], left_share: dict[int, float], leaves: int) -> list[tuple[int, int, int]]:
     """(node, dimension, bound) for each open node: rows with a coordinate of at most bound go left, about left_share of its bytes.
 
-    pts has `node` and the coordinates. The widest dimension is the one whose range is largest against its range over all rows."""
-    spark, dims = pts.sparkSession, range(len(spread))
-    ranges = pts.where(F.col("node").isin(open_nodes)).groupBy("node").agg(F.sum("size").alias("size"), *[f(F.col(f"x{i}")).alias(f"{n}{i}") for i in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    pts has `node`, under `leaves`, and the coordinates. The widest dimension is the one whose range is largest against its range over all
+    rows."""
+    dims = range(len(spread))
+    ranges = pts.where(of_node(dict.fromkeys(open_nodes, 1), leaves, "int") == 1).groupBy("node").agg(F.sum("size").alias("size"), *[f(F.col(f"x{i}")).alias(f"{n}{i}") for i in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
     at: dict[int, list] = {}  # node: dimension, lo, hi, bytes wanted at or below the bound, bytes below lo, bytes up to hi
     for r in ranges:
         d = max(dims, key=lambda i: ((r[f"hi{i}"] - r[f"lo{i}"]) / max(spread[i], 1.0), -i))
         at[r["node"]] = [d, r[f"lo{d}"], r[f"hi{d}"], r["size"] * left_share[r["node"]], 0.0, float(r["size"])]
     for _ in range(ROUNDS):
-        live = [(n, *v[:5], max(1, -(-(v[2] - v[1] + 1) // BINS))) for n, v in at.items() if v[1] < v[2]]
+        live = {n: (*v[:5], max(1, -(-(v[2] - v[1] + 1) // BINS))) for n, v in at.items() if v[1] < v[2]}
         if not live:
             break
-        brackets = local_rows(spark, live, "n long, d int, lo long, hi long, want double, below double, step long")
-        x = F.coalesce(*[F.when(F.col("d") == i, F.col(f"x{i}")) for i in dims])
-        inside = pts.join(F.broadcast(brackets), F.col("node") == F.col("n")).withColumn("x", x).where("x between lo and hi")  # one row a node
-        bins = inside.groupBy("n", "lo", "hi", "step", "want", "below", F.floor((F.col("x") - F.col("lo")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("s"))
-        upto = F.col("below") + F.sum("s").over(Window.partitionBy("n").orderBy("bin"))
-        hit = bins.withColumn("upto", upto).withColumn("last", F.max("bin").over(Window.partitionBy("n"))).where("(upto >= want and upto - s < want) or (bin = last and upto < want)")
-        for r in hit.select("n", "lo", "hi", "step", "bin", "s", "upto").collect():
-            v, lo = at[r["n"]], r["lo"] + int(r["bin"]) * r["step"]
-            v[1], v[2], v[4], v[5] = lo, min(lo + r["step"] - 1, r["hi"]), r["upto"] - r["s"], r["upto"]
+        col = lambda i, kind="long": of_node({n: v[i] for n, v in live.items()}, leaves, kind)  # noqa: E731, B023
+        here = pts.select("node", "size", *[f"x{i}" for i in dims], col(0, "int").alias("d")).where("d >= 0")
+        inside = here.select("node", "size", along(dims).alias("x"), col(1).alias("lo"), col(2).alias("hi"), col(5).alias("step")).where("x between lo and hi")
+        bins = inside.groupBy("node", F.floor((F.col("x") - F.col("lo")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("s"))
+        by = Window.partitionBy("node").orderBy("bin")
+        upto = bins.select("node", "bin", "s", (col(4, "double") + F.sum("s").over(by)).alias("upto"), F.lead("bin").over(by).isNull().alias("last"), col(3, "double").alias("want"))
+        for r in upto.where("(upto >= want and upto - s < want) or (last and upto < want)").select("node", "bin", "s", "upto").collect():
+            v, step = at[r["node"]], live[r["node"]][5]
+            lo = v[1] + int(r["bin"]) * step
+            v[1], v[2], v[4], v[5] = lo, min(lo + step - 1, v[2]), r["upto"] - r["s"], r["upto"]
     return [(n, d, lo - 1 if 0 < below and want - below < upto - want else hi) for n, (d, lo, hi, want, below, upto) in at.items()]
 
 
 def tree(pts: DataFrame, leaves: int) -> DataFrame:
-    """pts with `shard`, 0 to leaves - 1: the leaves of the tree, left to right. A node for k leaves gives k // 2 to its left."""
+    """pts, written, with `shard`, 0 to leaves - 1: the leaves of the tree, left to right. A node for k leaves gives k // 2 to its left. Each
+    level is written, so that no plan holds those before it; the last is not."""
     dims = [c for c in pts.columns if c[0] == "x"]
     ends = pts.agg(*[f(c) for c in dims for f in (F.min, F.max)]).first()
     spread = [float((ends[2 * i + 1] or 0) - (ends[2 * i] or 0)) for i in range(len(dims))]
-    pts = pts.withColumn("node", F.lit(0).cast("long"))
+    own = pts.withColumn("node", F.lit(0).cast("long"))
     nodes = {0: leaves}  # first leaf: number of leaves
+    before = None
     while any(k > 1 for k in nodes.values()):
         wide = {n: k for n, k in nodes.items() if k > 1}
-        cuts = split_once(pts, list(wide), spread, {n: (k // 2) / k for n, k in wide.items()})
+        cuts = split_once(own, list(wide), spread, {n: (k // 2) / k for n, k in wide.items()}, leaves)
         if not cuts:
             break
-        splits = local_rows(pts.sparkSession, [(n, d, b, wide[n] // 2) for n, d, b in cuts], "n long, d int, bound long, step long")
-        x = F.coalesce(*[F.when(F.col("d") == i, F.col(c)) for i, c in enumerate(dims)])
-        moved = F.when(x > F.col("bound"), F.col("node") + F.col("step")).otherwise(F.col("node"))
-        pts = pts.join(F.broadcast(splits), F.col("node") == F.col("n"), "left").withColumn("node", moved).drop("n", "d", "bound", "step")  # one row a node
+        cut = own.withColumn("d", of_node({n: d for n, d, _ in cuts}, leaves, "int")).withColumn("x", along(range(len(dims))))
+        right = F.col("x") > of_node({n: b for n, _, b in cuts}, leaves, "long")
+        cut = cut.withColumn("node", F.when(right, F.col("node") + of_node({n: wide[n] // 2 for n, *_ in cuts}, leaves, "long")).otherwise(F.col("node"))).drop("d", "x")
         nodes = {m: k for n, k0 in nodes.items() for m, k in (((n, k0 // 2), (n + k0 // 2, k0 - k0 // 2)) if k0 > 1 else ((n, k0),))}
-    return pts.withColumn("shard", F.col("node").cast("int")).drop("node", *dims)
+        if all(k == 1 for k in nodes.values()):
+            own = cut
+            break
+        own = written(cut, "shard-level")
+        if before is not None:
+            dropped(before)
+        before = own
+    return own.withColumn("shard", F.col("node").cast("int")).drop("node", *dims)
 
 
 def slots(sharded: DataFrame) -> DataFrame:
