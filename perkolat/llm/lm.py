@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ DIM, NOISE, STEPS, BATCH, RATE, SEED, DOCS = 32, 16, 500, 4096, 0.1, 7, 40_000
 WHOLE_NOISE, WHOLE_RATE, PIECE = 4, 0.05, 8192
 #: Documents and tokens that a worker holds at once.
 SLICE, CHUNK = 256, 16_384
+#: Rows whose scores fit a core's cache; this changes the work alone.
+BLOCK = 1024
 FLUSH = 300_000
 
 
@@ -81,8 +83,12 @@ class Tables:
     docs: int
     sizes: tuple[int, int, int]  # TOP, CLASSES, GROUPS
     model: dict[str, np.ndarray] | None = None
+    at: dict[bytes, int] | None = field(default=None, init=False, repr=False)
 
     def index(self) -> None:
+        """What follows from the fields; once, however many tasks a worker runs."""
+        if self.at is not None:
+            return
         self.at = {w: i for i, w in enumerate(self.words)}
         top, classes, self.n_groups = self.sizes
         self.top = min(top, len(self.words))
@@ -140,7 +146,7 @@ class Tables:
             for j in range(1, WINDOW):
                 h += scaled[j][ctx[:, j]]
             first = self.outcome[t]
-            own = picked(h @ p["Q"].T + p["b"], first)
+            own = np.concatenate([picked(h[i : i + BLOCK] @ p["Q"].T + p["b"], first[i : i + BLOCK]) for i in range(0, len(t), BLOCK)])
             words = np.flatnonzero(t < self.top)
             words = words[np.argsort(first[words], kind="stable")]
             ends = np.searchsorted(first[words], np.arange(self.classes + 1))
@@ -190,14 +196,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """values added up by row number, of n."""
-    order = np.argsort(rows, kind="stable")
-    at = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    out = np.zeros((n, *values.shape[1:]), values.dtype)
-    if len(at):
-        out[rows[order][at]] = np.add.reduceat(values[order], at, axis=0)
-    return out
+def summed(rows: np.ndarray, factors: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """For each of n row numbers the sum of factors[i, j] * vectors[i] where rows[i, j] is that number; a factor may differ by the vector's
+    place: factors[k][i, j]. Added up a place at a time, as the sums of one place stay in the cache."""
+    out, at = np.empty((vectors.shape[1], n), np.float32), rows.ravel().astype(np.int64)
+    for k, x in enumerate(vectors.T.astype(float)):
+        out[k] = np.bincount(at, (x[:, None] * (factors[k] if factors.ndim == 3 else factors)).ravel(), n)
+    return out.T
 
 
 class Trainer:
@@ -231,35 +236,51 @@ class Trainer:
     def step(self, ctx: np.ndarray, tg: np.ndarray, lr: float) -> None:
         """One minibatch: the WINDOW symbols before each target, nearest first, and the targets."""
         t, p, f, n, dim = self.t, self.p, np.float32, len(tg), self.p["R"].shape[1]
-        r = p["R"][ctx]
-        h = (r * p["C"]).sum(axis=1)
-        # First step: all outcomes as noise, weighted by their share.
-        one = t.outcome[tg]
-        s = sigmoid(h @ p["Q"].T + p["b"] - self.log_first)
-        hit = s[np.arange(n), one]
-        g = s * self.share
-        g[np.arange(n), one] -= 1 - hit
-        gh = g @ p["Q"]
-        grad = {"Q": g.T @ h, "b": g.sum(axis=0)}
+        r = [p["R"].take(ctx[:, j], axis=0) for j in range(WINDOW)]
+        h = np.empty((n, dim + 1), f)  # and one for the bias
+        h[:, dim] = 1
+        np.multiply(r[0], p["C"][0], out=h[:, :dim])
+        for j in range(1, WINDOW):
+            h[:, :dim] += r[j] * p["C"][j]
+        # First step: all outcomes as noise, weighted by their share; in blocks that stay in the cache.
+        one, gh, grad = t.outcome[tg], np.empty((n, dim), f), {}
+        q = np.concatenate([p["Q"], (p["b"] - self.log_first)[:, None]], axis=1)
+        whole, minus = np.zeros_like(q), -q.T
+        for i in range(0, n, BLOCK):
+            own, k = h[i : i + BLOCK], one[i : i + BLOCK]
+            g, at = own @ minus, np.arange(len(k))
+            np.exp(np.minimum(g, 30, out=g), out=g)
+            g += 1
+            hit = 1 / g[at, k]
+            np.divide(self.share, g, out=g)
+            g[at, k] -= 1 - hit
+            np.matmul(g, p["Q"], out=gh[i : i + BLOCK])
+            whole += g.T @ own
+        grad["Q"], grad["b"] = whole[:, :dim], whole[:, dim]
         # Second step: words of the class.
         w = np.flatnonzero(tg < t.top)
         if len(w):
-            k = one[w]
+            k, hw = one[w], h[w, :dim]
             u = np.minimum(np.searchsorted(self.upto, k[:, None] + self.rng.random((len(w), self.noise))), t.first[k + 1][:, None] - 1)
             u = np.maximum(u, t.first[k][:, None])
             every = np.concatenate([tg[w][:, None], u], axis=1)
-            vec = p["W"][every]
-            s2 = sigmoid(np.einsum("nkd,nd->nk", vec, h[w]) + p["d"][every] - self.log_word[every])
+            vec = p["W"].take(every, axis=0)
+            s2 = sigmoid(np.einsum("nkd,nd->nk", vec, hw) + (p["d"] - self.log_word)[every])
             s2[:, 0] -= 1
             gh[w] += np.einsum("nk,nkd->nd", s2, vec)
-            grad["W"] = summed(every.ravel(), (s2[:, :, None] * h[w][:, None, :]).reshape(-1, dim), t.top)
+            s2 = s2.astype(float)
+            grad["W"] = summed(every, s2, hw, t.top)
             grad["d"] = np.bincount(every.ravel(), s2.ravel(), t.top)
-        grad["C"] = (gh[:, None, :] * r).sum(axis=0)
-        grad["R"] = summed(ctx.ravel(), (gh[:, None, :] * p["C"]).reshape(-1, dim), len(p["R"]))
+        grad["C"] = np.stack([np.einsum("nd,nd->d", gh, x) for x in r])
+        grad["R"] = summed(ctx, p["C"].T.astype(float)[:, None, :], gh, len(p["R"]))
         for key, x in grad.items():
-            x = x.astype(f)
-            self.v[key] += x * x  # by element, over all steps: rare words keep their rate
-            p[key] -= f(lr) * x / np.sqrt(self.v[key])
+            x = np.ascontiguousarray(x, f)
+            step = x * x
+            self.v[key] += step  # by element, over all steps: rare words keep their rate
+            np.sqrt(self.v[key], out=step)
+            np.divide(x, step, out=step)
+            step *= f(lr)
+            p[key] -= step
 
 
 def fitted(t: Tables, context: np.ndarray, target: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> Trainer:
